@@ -7,6 +7,8 @@ import importlib
 # name: (module, function, SQL constant or None)
 LISTED = {
     "op1_url_filters": ("url_filter", "op1_url_filters", "OP1_SQL"),
+    "op2_mixing": ("mixing", "op2_mixing", None),
+    "op7_bpe": ("bpe", "op7_bpe", None),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
