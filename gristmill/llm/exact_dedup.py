@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read
+from .common import SPACE, read, table
 
 SUPPORT = 0.001
 
@@ -44,7 +44,7 @@ def _once(rows: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """One row for each document: its digest, the id that stays, the group's size and whether this row stays."""
-    keyed = docs.select(F.col(id).alias("_id"), digest(F.col(text)).alias("_digest"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_len"))
+    keyed = table(docs.select(F.col(id).alias("_id"), digest(F.col(text)).alias("_digest"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_len")), "digests")
     frequent = keyed.stat.freqItems(["_digest"], support).select(F.explode("_digest_freqItems").alias("_digest"))
     hot = F.broadcast(frequent)  # at most 1 / support rows
     verified = keyed.join(hot, "_digest", "left_semi").groupBy("_digest").agg(_winner().alias("_win"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
