@@ -9,6 +9,7 @@ LISTED = {
     "op1_url_filters": ("url_filter", "op1_url_filters", "OP1_SQL"),
     "op2_mixing": ("mixing", "op2_mixing", None),
     "op7_bpe": ("bpe", "op7_bpe", None),
+    "op8_language_id": ("language_id", "op8_language_id", None),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
