@@ -11,6 +11,7 @@ LISTED = {
     "op7_bpe": ("bpe", "op7_bpe", None),
     "op8_language_id": ("language_id", "op8_language_id", None),
     "op10_html_text": ("html_text", "op10_html_text", None),
+    "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
