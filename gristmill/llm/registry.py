@@ -12,6 +12,7 @@ LISTED = {
     "op8_language_id": ("language_id", "op8_language_id", None),
     "op10_html_text": ("html_text", "op10_html_text", None),
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
+    "op3_ann": ("ann", "op3_ann", None),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
