@@ -13,6 +13,7 @@ LISTED = {
     "op10_html_text": ("html_text", "op10_html_text", None),
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op3_ann": ("ann", "op3_ann", None),
+    "op9_jaccard_join": ("jaccard_join", "op9_jaccard_join", None),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
