@@ -27,18 +27,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, table
 from .components import components
+from .fixed_state import accumulated, bloom, may_hold, mix, packed
 
 PERCENT = 75
 SHINGLE = 5
 SKETCH_BITS = 22  # counters of the frequency sketch; a fixed number, whatever the corpus
-BLOOM_BITS = 25  # bits of the filter for sets to fetch; when it fills up, more sets are read, none is missed
-SLICE = 1 << 16
 BUFFER = 1 << 22
 U = np.uint64
 
@@ -55,12 +53,6 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, np.multiply.accumulate(up), np.multiply.accumulate(inverse)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
-
-
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -122,34 +114,6 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(np.uint64(one ^ U(len(s))).astype(np.int64))), int(two.astype(np.int64))
 
 
-def _accumulated(parts: DataFrame, slices: int, dtype, combine) -> np.ndarray:
-    """Combine zstd-packed slices (slice int, data binary) into one array of fixed size."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for k, data in zip(pdf["slice"], pdf["data"]):
-                x = np.frombuffer(unpack.decompress(data), dtype)
-                held[k] = combine(held[k], x) if k in held else x.copy()
-        pack = zstandard.ZstdCompressor(level=1)
-        yield pd.DataFrame({"slice": list(held), "data": [pack.compress(x.tobytes()) for x in held.values()]})
-
-    total = parts.repartition(min(slices, 64), "slice").mapInPandas(add, "slice int, data binary")
-    out: dict[int, np.ndarray] = {}
-    unpack = zstandard.ZstdDecompressor()
-    for r in total.toLocalIterator():  # at most ``slices`` rows of fixed size
-        out[r["slice"]] = np.frombuffer(unpack.decompress(bytes(r["data"])), dtype)
-    size = len(next(iter(out.values()))) if out else 0
-    return np.concatenate([out.get(k, np.zeros(size, dtype)) for k in range(slices)]) if out else np.zeros(0, dtype)
-
-
-def _packed(x: np.ndarray, size: int) -> list[tuple[int, bytes]]:
-    pack = zstandard.ZstdCompressor(level=1)
-    parts = ((k, x[i : i + size]) for k, i in enumerate(range(0, len(x), size)))
-    return [(k, pack.compress(p.tobytes())) for k, p in parts if p.any()]
-
-
 def describe(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
     """(id, n, sig, sig2) of every document, and the sketch of all shingles' frequencies."""
 
@@ -166,7 +130,7 @@ def describe(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
             counts += np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32)
             rows = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        parts = _packed(counts, SLICE)
+        parts = packed(counts)
         m = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names)
 
@@ -175,8 +139,8 @@ def describe(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
     id_type = to_arrow_type(docs.schema[0].dataType)
     names = ["id", "n", "sig", "sig2", "slice", "data"]
     out = table(docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sig long, sig2 long, slice int, data binary"), "jaccard-docs")
-    sketch = _accumulated(out.where("slice is not null").select("slice", "data"), (1 << SKETCH_BITS) // SLICE, np.uint32, np.add)
-    return out.where("n is not null").select("id", "n", "sig", "sig2"), sketch if len(sketch) else np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch = accumulated(out.where("slice is not null").select("slice", "data"), 1 << SKETCH_BITS, np.uint32, np.add)
+    return out.where("n is not null").select("id", "n", "sig", "sig2"), sketch
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray, bar: float, percent: int) -> tuple[np.ndarray, int]:
@@ -194,7 +158,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, bar: float, percent: int) -> tuple
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> DataFrame:
     """(tok, sig, n, rest): one row for each prefix shingle of each distinct set that a task meets."""
-    mean = float(sketch.mean()) if len(sketch) else 0.0
+    mean = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast((sketch, mean + 5 * mean**0.5 + 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,27 +187,9 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> Da
     return docs.mapInArrow(run, "tok long, sig long, n long, rest long")
 
 
-def _bloom_places(x: np.ndarray) -> np.ndarray:
-    h = mix(x.astype(np.int64).view(U) + U(5))
-    return np.stack([(mix(h + U(j)) >> U(64 - BLOOM_BITS)).astype(np.int64) for j in range(4)])
-
-
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the nodes (one column)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
-        for pdf in batches:
-            bits[_bloom_places(pdf.iloc[:, 0].to_numpy()).ravel()] = True
-        yield pd.DataFrame(_packed(np.packbits(bits), SLICE), columns=["slice", "data"])
-
-    bits = _accumulated(nodes.mapInPandas(run, "slice int, data binary"), (1 << BLOOM_BITS) // 8 // SLICE, np.uint8, np.bitwise_or)
-    return np.unpackbits(bits).astype(bool) if len(bits) else np.zeros(1 << BLOOM_BITS, bool)
-
-
 def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     """(sig, tokens) for the nodes, read from the texts again; the filter may let a few more through."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(nodes))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = shared.value, set()
@@ -251,7 +197,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
             sig, data = [], []
             for s in shingle_sets(batch.column(0).to_pylist(), seed):
                 name = signature(s)[0] if len(s) else 0
-                if len(s) and name not in met and bits[_bloom_places(np.array([name]))].all():
+                if len(s) and name not in met and may_hold(bits, np.array([name]))[0]:
                     if len(met) < 1 << 20:
                         met.add(name)
                     sig.append(name)

@@ -14,6 +14,7 @@ LISTED = {
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op3_ann": ("ann", "op3_ann", None),
     "op9_jaccard_join": ("jaccard_join", "op9_jaccard_join", None),
+    "op5_suffix_dedup": ("suffix_dedup", "op5_suffix_dedup", None),
     "op6_exact_dedup": ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 }
 
