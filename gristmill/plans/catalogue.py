@@ -2,10 +2,475 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gristmill import config
+from gristmill.functions import scalars as S
+from gristmill.operators import column_checks as C
+from gristmill.operators import dataset_checks as D
+from gristmill.operators import label_checks as L
+from gristmill.operators import profiling as P
+from gristmill.operators import relation_checks as R
+from gristmill.operators import scoring
+from gristmill.operators.audit import audit, safe_fixes
+from gristmill.operators.edits import Edit, changes, replay
+from gristmill.operators.tables import ROW, Table, as_strings, is_missing, is_sentinel
 
-def oracle_sql() -> dict:
-    return {}
+from . import sql
+from .dirty import view
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+ALL = "order_id status priority total odate flag city note weight amount qty level vendor region due".split()
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return keep
+
+
+def _rid(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed(ROW, "rid")
+
+
+def _scalar(name: str, column: str, f, oracle: str, view_name: str = "orders"):
+    """A cell-level function over a whole column."""
+
+    @query(name, f"WITH {sql.dirty(view_name)} SELECT rid, {column} AS raw, {oracle} AS got FROM dirty")
+    def run(spark, d):
+        return _rid(view(spark, d, view_name, [column]).df.select(ROW, F.col(column).alias("raw"), f(F.col(column)).alias("got")))
+
+
+_scalar("num_parse", "amount", S.parse_number, f"CAST({sql.literal('amount')} AS DOUBLE)")
+_scalar("num_literal", "weight", S.number_literal, sql.literal("weight"))
+_scalar("num_unit", "weight", lambda v: S.number_parts(v)["unit"], f"regexp_extract({sql.bare('weight')}, '{sql.DRESS}', 2)")
+_scalar("needs_reformatting", "amount", S.needs_reformatting, sql.dressed("amount"))
+_scalar("degroup_numeric", "total", S.to_number, sql.number("total"))
+_scalar("date_parse", "odate", S.parse_date, sql.iso_date("odate"))
+_scalar("date_parse_dayfirst", "odate", lambda v: S.parse_date(v, True), sql.iso_date("odate", "true"))
+_scalar("date_style", "odate", S.date_style, sql.style("odate"))
+_scalar("bool_parse", "flag", S.parse_boolean, sql.truth("flag"))
+_scalar("strip_markup_tags", "note", lambda v: S.squash(F.regexp_replace(v, S.TAG, " ")), r"trim(regexp_replace(regexp_replace(note, '</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>', ' ', 'g'), '\s+', ' ', 'g'))")
+_scalar("strip_markup", "note", S.strip_markup, r"trim(regexp_replace(replace(replace(regexp_replace(note, '</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>', ' ', 'g'), '&euro;', '€'), '&amp;', '&'), '\s+', ' ', 'g'))")
+_scalar("strip_invisible", "city", S.strip_invisible, "replace(replace(city, '\u200b', ''), '\u00a0', ' ')")
+_scalar("normalise_text", "status", S.normalise_latin, sql.norm("status"))
+_scalar("is_missing", "status", is_missing, sql.missing("status"))
+_scalar("is_sentinel", "status", is_sentinel, sql.sentinel("status"))
+_scalar("column_decimals", "total", lambda v: S.decimals(v), r"CASE WHEN regexp_full_match(trim(total), '-?\d+(\.\d+)?') THEN length(regexp_extract(total, '\.(\d+)$', 1)) END")
+_scalar("entity_key", "vendor", lambda v: S.entity_key(S.normalise_latin(v)), r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(vendor), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '(\s(inc|ltd|the|co))+$', ''), '^((inc|ltd|the|co)\s)+', ''))")
+
+
+@query("scan_cells", f"WITH {sql.dirty('orders')}, {sql.cells(['status', 'priority', 'total'])} SELECT col, raw, count(*) AS n FROM cells GROUP BY col, raw")
+def scan_cells(spark, d):
+    return view(spark, d, "orders", ["status", "priority", "total"]).values.select("col", "raw", "n")
+
+
+@query("profile_columns", sql.values("orders", ALL) + "SELECT col, n_rows, n_missing, n_present, n_unique, round(missing_fraction, 6) AS missing_fraction, round(mean_tokens, 6) AS mean_tokens, n_numeric, inferred_type FROM prof")
+def profile_columns(spark, d):
+    p = view(spark, d, "orders", ALL).profile
+    return p.select("col", "n_rows", "n_missing", "n_present", "n_unique", F.round("missing_fraction", 6).alias("missing_fraction"), F.round("mean_tokens", 6).alias("mean_tokens"), "n_numeric", "inferred_type")
+
+
+@query("profile_types", sql.values("lines", ["qty", "item", "price", "amount", "flag", "flag_text", "shipped", "received"]) + "SELECT col, inferred_type FROM prof")
+def profile_types(spark, d):
+    return view(spark, d, "lines", ["qty", "item", "price", "amount", "flag", "flag_text", "shipped", "received"]).profile.select("col", "inferred_type")
+
+
+@query("profile_numbers", sql.values("orders", ["total", "qty", "level"]) + """SELECT v.col, min(num) AS lo, max(num) AS hi, round(sum(num * n) / sum(n), 4) AS mean_value,
+  (SELECT round(quantile_cont(num, 0.5), 4) FROM (SELECT c.col, {n} AS num FROM cells c) x WHERE x.col = v.col AND num IS NOT NULL) AS median_value
+FROM vals v JOIN prof p ON p.col = v.col AND inferred_type = 'numeric' WHERE NOT missing AND num IS NOT NULL GROUP BY v.col""".format(n=sql.present_number("c.raw")))
+def profile_numbers(spark, d):
+    p = view(spark, d, "orders", ["total", "qty", "level"]).profile.where("inferred_type = 'numeric'")
+    return p.select("col", F.col("min").alias("lo"), F.col("max").alias("hi"), F.round("mean", 4).alias("mean_value"), F.round("median", 4).alias("median_value"))
+
+
+@query("profile_top_values", sql.values("orders", ["status", "priority", "city"]) + "SELECT col, raw, n, place FROM (SELECT v.col, raw, n, row_number() OVER (PARTITION BY v.col ORDER BY n DESC, raw) AS place FROM vals v JOIN prof p USING (col) WHERE NOT missing AND inferred_type IN ('categorical', 'boolean', 'constant')) WHERE place <= 10")
+def profile_top_values(spark, d):
+    return P.top_values(view(spark, d, "orders", ["status", "priority", "city"]))
+
+
+@query("profile_samples", f"WITH {sql.dirty('orders')}, {sql.cells(['status', 'vendor'])}, firsts AS (SELECT col, raw, min(rid) AS f FROM cells WHERE NOT {sql.missing('raw')} GROUP BY col, raw) SELECT col, raw, place FROM (SELECT col, raw, row_number() OVER (PARTITION BY col ORDER BY f, raw) AS place FROM firsts) WHERE place <= 5")
+def profile_samples(spark, d):
+    return P.sample_values(view(spark, d, "orders", ["status", "vendor"]))
+
+
+@query("missing_spellings", sql.values("orders", ["status", "total"]) + "SELECT col, norm, CAST(sum(n) AS BIGINT) AS n FROM vals WHERE missing AND norm <> '' GROUP BY col, norm")
+def missing_spellings(spark, d):
+    return P.missing_spellings(view(spark, d, "orders", ["status", "total"]))
+
+
+@query("without_sentinels", f"WITH {sql.dirty('orders')} SELECT rid, CASE WHEN {sql.sentinel('status')} THEN '' ELSE status END AS status FROM dirty")
+def without_sentinels(spark, d):
+    return _rid(view(spark, d, "orders", ["status"]).without_sentinels().df)
+
+
+@query("preview", f"WITH {sql.dirty('orders')} SELECT rid, status, total FROM dirty ORDER BY rid LIMIT {config.PREVIEW}")
+def preview(spark, d):
+    return _rid(view(spark, d, "orders", ["status", "total"]).df.orderBy(ROW).limit(config.PREVIEW))
+
+
+@query("c1_missing", sql.values("orders", ALL) + "SELECT col, n_missing, round(missing_fraction, 6) AS missing_fraction, CASE WHEN missing_fraction > 0.3 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN inferred_type IN ('categorical', 'boolean') THEN 'fill_missing' ELSE 'review' END AS action FROM prof WHERE missing_fraction > 0.05")
+def c1_missing(spark, d):
+    return C.missingness(view(spark, d, "orders", ALL)).withColumn("missing_fraction", F.round("missing_fraction", 6))
+
+
+@query("c1_sparse_rows", f"WITH {sql.dirty('orders')} SELECT rid, n_missing FROM (SELECT rid, {sql.missing('status')}::INT + {sql.missing('total')}::INT + {sql.missing('city')}::INT AS n_missing FROM dirty) WHERE n_missing / 3 > 0.5")
+def c1_sparse_rows(spark, d):
+    return _rid(C.sparse_rows(view(spark, d, "orders", ["status", "total", "city"])))
+
+
+@query("c2_constant", sql.values("orders", ["region", "status", "level", "city"]) + "SELECT p.col, max(n) AS top, n_rows FROM prof p LEFT JOIN vals v ON v.col = p.col AND NOT missing GROUP BY p.col, n_rows, n_present, inferred_type HAVING n_present = 0 OR inferred_type = 'constant' OR max(n) / greatest(n_present, 1) > 0.99")
+def c2_constant(spark, d):
+    return C.constants(view(spark, d, "orders", ["region", "status", "level", "city"])).select("col", F.round(F.col("top_share") * F.col("n_rows")).cast("long").alias("top"), "n_rows")
+
+
+@query("c3_id_like", sql.values("orders", ALL) + "SELECT col, n_unique FROM prof WHERE inferred_type = 'id_like'")
+def c3_id_like(spark, d):
+    return C.id_like(view(spark, d, "orders", ALL)).select("col", "n_unique")
+
+
+@query("c4_mixed", sql.values("orders", ["total", "status", "weight", "level"]) + """, told AS (SELECT v.col, CAST(sum(n) AS BIGINT) AS n_filled,
+  CAST(coalesce(sum(n) FILTER (WHERE regexp_full_match(replace(raw, ',', ''), '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)\\s*')), 0) AS BIGINT) AS n_numeric,
+  CAST(coalesce(sum(n) FILTER (WHERE NOT regexp_full_match(replace(raw, ',', ''), '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)\\s*') AND NOT sentinel), 0) AS BIGINT) AS n_offending
+  FROM vals v JOIN prof p USING (col) WHERE NOT blank AND inferred_type NOT IN ('text', 'datetime', 'constant') GROUP BY v.col)
+SELECT col, n_filled, n_numeric, n_offending FROM told WHERE n_numeric / n_filled >= 0.02 AND 1 - n_numeric / n_filled >= 0.02 AND n_offending / n_filled >= 0.02""")
+def c4_mixed(spark, d):
+    return C.mixed_types(view(spark, d, "orders", ["total", "status", "weight", "level"])).select("col", "n_filled", "n_numeric", "n_offending")
+
+
+_VARIANTS = """, ranked AS (SELECT v.col, norm, raw, n, count(*) OVER (PARTITION BY v.col, norm) AS k, row_number() OVER w AS place, first_value(raw) OVER w AS canonical, first_value(n) OVER w AS top
+  FROM vals v JOIN prof p USING (col) WHERE NOT missing AND inferred_type IN ('categorical', 'boolean') WINDOW w AS (PARTITION BY v.col, norm ORDER BY n DESC, raw))
+SELECT col, norm, raw, n, canonical, CASE WHEN place = 1 THEN 'canonical'
+  WHEN trim(raw) = trim(canonical) OR n / top <= 0.25 OR NOT (NOT regexp_matches(trim(raw), '\\s') AND (regexp_matches(trim(raw), '\\d') OR length(trim(raw)) <= 4)) THEN 'safe' ELSE 'contested' END AS verdict
+FROM ranked WHERE k > 1"""
+
+
+@query("c5_variants", sql.values("orders", ["priority", "city"]) + _VARIANTS)
+def c5_variants(spark, d):
+    return C.variants(view(spark, d, "orders", ["priority", "city"]))
+
+
+@query("c6_rare", sql.values("events", ["kind", "tier", "user_group"]) + "SELECT v.col, raw, n FROM vals v JOIN prof p USING (col) WHERE NOT missing AND inferred_type = 'categorical' AND n < 5")
+def c6_rare(spark, d):
+    return C.rare_values(view(spark, d, "events", ["kind", "tier", "user_group"]))
+
+
+_NUMBERS = ", nums AS (SELECT c.col, {} AS num FROM cells c JOIN prof p USING (col) WHERE inferred_type = 'numeric'), mid AS (SELECT col, count(num) AS support, quantile_cont(num, 0.25) AS q1, quantile_cont(num, 0.5) AS med, quantile_cont(num, 0.75) AS q3 FROM nums WHERE num IS NOT NULL GROUP BY col), fence AS (SELECT m.*, mad FROM mid m JOIN (SELECT n.col, quantile_cont(abs(num - med), 0.5) AS mad FROM nums n JOIN mid USING (col) WHERE num IS NOT NULL GROUP BY n.col) USING (col))\n".format(sql.present_number("c.raw"))
+
+
+@query("c7_outliers", sql.values("orders", ["qty", "level", "total"]) + _NUMBERS + """, hit AS (SELECT n.col, med, q3 > q1 AND (num < q1 - 3 * (q3 - q1) OR num > q3 + 3 * (q3 - q1)) AS i, mad > 0 AND abs(num - med) / (1.4826 * mad) > 5 AS m FROM nums n JOIN fence f USING (col) WHERE num IS NOT NULL AND support >= 10)
+SELECT col, CAST(sum(i::INT) AS BIGINT) AS by_iqr, CAST(sum(m::INT) AS BIGINT) AS by_mad, CAST(sum((i OR m)::INT) AS BIGINT) AS n_outliers, med AS median FROM hit GROUP BY col, med HAVING sum((i OR m)::INT) > 0""")
+def c7_outliers(spark, d):
+    return C.outliers(view(spark, d, "orders", ["qty", "level", "total"]))
+
+
+@query("c8_future", sql.values("orders", ["due", "odate"]) + f"SELECT c.col, count(*) AS n_future FROM cells c JOIN prof p USING (col) WHERE inferred_type = 'datetime' AND {sql.iso_date('raw')} > '2026-01-01' GROUP BY c.col")
+def c8_future(spark, d):
+    return C.future_dates(view(spark, d, "orders", ["due", "odate"]), "2026-01-01 00:00:00")
+
+
+@query("c8_negative", sql.values("orders", ["level", "qty"]) + _NUMBERS + "SELECT col, count(*) AS support, CAST(sum((num < 0)::INT) AS BIGINT) AS n_negative FROM nums WHERE num IS NOT NULL GROUP BY col HAVING sum((num < 0)::INT) > 0 AND 1 - sum((num < 0)::INT) / count(*) > 0.99")
+def c8_negative(spark, d):
+    return C.unexpected_negatives(view(spark, d, "orders", ["level", "qty"]))
+
+
+@query("c8_scale_break", sql.values("orders", ["level", "qty"]) + _NUMBERS + "SELECT col, max(num) FILTER (WHERE p = 1) AS largest, max(num) FILTER (WHERE p = 2) AS second FROM (SELECT col, num, row_number() OVER (PARTITION BY col ORDER BY num DESC) AS p FROM nums WHERE num IS NOT NULL) GROUP BY col HAVING count(*) > 2 AND max(num) FILTER (WHERE p = 2) > 0 AND max(num) > 10 * max(num) FILTER (WHERE p = 2)")
+def c8_scale_break(spark, d):
+    return C.scale_breaks(view(spark, d, "orders", ["level", "qty"]))
+
+
+@query("c9_pearson", f"WITH {sql.dirty('lines')} SELECT 'qty' AS a, 'qty_pct' AS b, round(abs(corr(CAST(qty AS DOUBLE), CAST(qty_pct AS DOUBLE))), 6) AS r FROM dirty")
+def c9_pearson(spark, d):
+    return C.pearson(view(spark, d, "lines", ["qty", "qty_pct", "item"])).withColumn("r", F.round("r", 6))
+
+
+@query("c9_cramers_v", f"""WITH {sql.dirty('lines')}, o AS (SELECT flag AS x, flag_text AS y, count(*) AS o FROM dirty GROUP BY flag, flag_text),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS r, sum(o) OVER (PARTITION BY y) AS c FROM o)
+SELECT 'flag' AS a, 'flag_text' AS b, round(sqrt(greatest(sum(o * o / (r * c)) - 1, 0) / (least(count(DISTINCT x), count(DISTINCT y)) - 1)), 6) AS v FROM m""")
+def c9_cramers_v(spark, d):
+    return C.cramers_v(view(spark, d, "lines", ["flag", "flag_text", "item"])).withColumn("v", F.round("v", 6))
+
+
+@query("c10_leakage")
+def c10_leakage(spark, d):
+    return L.leakage(view(spark, d, "lines", ["flag", "flag_text", "qty", "item"]), "flag")[0]
+
+
+@query("c11_sentinel", sql.values("orders", ALL) + """, told AS (SELECT col, CAST(coalesce(sum(n) FILTER (WHERE sentinel), 0) AS BIGINT) AS k, max_by(sentinel, n) AS modal FROM vals GROUP BY col)
+SELECT t.col, k AS n_sentinel, k / n_rows <= 0.25 AND NOT (inferred_type IN ('categorical', 'boolean', 'text', 'constant') AND modal) AS auto FROM told t JOIN prof p USING (col) WHERE k >= 3 AND k / n_rows <= 0.4""")
+def c11_sentinel(spark, d):
+    return C.sentinels(view(spark, d, "orders", ALL))
+
+
+_LOOKUP = f"""WITH {sql.dirty('lines')}, pairs AS (SELECT item AS key, price AS value, count(*) AS n FROM dirty WHERE NOT {sql.sentinel('price')} AND price <> '' GROUP BY item, price),
+keys AS (SELECT key, count(*) AS kinds, sum(n) AS support, min(value) AS value FROM pairs GROUP BY key)"""
+
+
+@query("c12_dependency", _LOOKUP + f", gaps AS (SELECT item AS key, count(*) AS g FROM dirty WHERE price = '' OR {sql.sentinel('price')} GROUP BY item) SELECT 'item' AS source, 'price' AS target, CAST(sum(support) AS BIGINT) AS support, count(*) FILTER (WHERE kinds = 1 AND support >= 5) AS decisive_keys, count(*) AS total_keys, CAST(sum(g) FILTER (WHERE kinds = 1 AND support >= 5) AS BIGINT) AS fillable FROM keys LEFT JOIN gaps USING (key)")
+def c12_dependency(spark, d):
+    return R.dependencies(view(spark, d, "lines", ["item", "price"]).without_sentinels())
+
+
+@query("c12_fill", _LOOKUP + f" SELECT rid, item AS key, keys.value FROM dirty JOIN keys ON keys.key = item WHERE (price = '' OR {sql.sentinel('price')}) AND kinds = 1 AND support >= 5")
+def c12_fill(spark, d):
+    return _rid(R.fill_values(view(spark, d, "lines", ["item", "price"]).without_sentinels(), "item", "price"))
+
+
+_THREE = f"WITH {sql.dirty('lines')}, n AS (SELECT rid, {sql.present_number('qty')} AS q, {sql.present_number('price')} AS p, {sql.present_number('amount')} AS a FROM dirty)"
+
+
+@query("c13_relation", _THREE + " SELECT 'amount' AS target, 'product' AS operation, 'qty' AS a, 'price' AS b, count(*) AS support, count(DISTINCT (q, p)) AS distinct_inputs, count(DISTINCT (q, p)) >= 12 AS auto FROM n WHERE q IS NOT NULL AND p IS NOT NULL AND a IS NOT NULL")
+def c13_relation(spark, d):
+    return R.arithmetic(view(spark, d, "lines", ["qty", "price", "amount"]).without_sentinels())
+
+
+@query("c13_fill", _THREE + " SELECT rid, 'amount' AS col, q * p AS value FROM n WHERE a IS NULL AND q IS NOT NULL AND p IS NOT NULL UNION ALL SELECT rid, 'price', a / q FROM n WHERE p IS NULL AND a IS NOT NULL AND q <> 0")
+def c13_fill(spark, d):
+    t = view(spark, d, "lines", ["qty", "price", "amount"]).without_sentinels()
+    a = R.computable(t, "amount", "product", "qty", "price").withColumn("col", F.lit("amount"))
+    b = R.computable(t, "price", "quotient", "amount", "qty").withColumn("col", F.lit("price"))
+    return _rid(a.unionByName(b))
+
+
+@query("c14_untrimmed", sql.values("orders", ["status", "priority", "city"]) + "SELECT col, CAST(sum(n) AS BIGINT) AS n_cells FROM vals WHERE raw <> trim(raw) GROUP BY col")
+def c14_untrimmed(spark, d):
+    return C.untrimmed(view(spark, d, "orders", ["status", "priority", "city"]))
+
+
+@query("c15_formatted", sql.values("orders", ["amount", "weight", "city"]) + f""", u AS (SELECT v.*, {sql.literal('raw')} IS NOT NULL AS parsed, regexp_extract({sql.bare('raw')}, '{sql.DRESS}', 2) AS unit, regexp_extract(raw, '[$€£¥₹₽¢]', 0) AS symbol FROM vals v JOIN prof p USING (col) WHERE NOT missing AND NOT sentinel AND inferred_type NOT IN ('numeric', 'datetime', 'constant', 'text'))
+SELECT col, CAST(sum(n) FILTER (WHERE dressed) AS BIGINT) AS n_dressed, count(DISTINCT nullif(unit, '')) AS n_units, count(DISTINCT nullif(symbol, '')) FILTER (WHERE parsed) AS n_symbols, count(DISTINCT nullif(unit, '')) <= 1 AND count(DISTINCT nullif(symbol, '')) FILTER (WHERE parsed) <= 1 AS auto
+FROM u GROUP BY col HAVING sum(n) >= 8 AND coalesce(sum(n) FILTER (WHERE parsed), 0) / sum(n) >= 0.95 AND coalesce(sum(n) FILTER (WHERE dressed), 0) >= 8""")
+def c15_formatted(spark, d):
+    return C.formatted_numbers(view(spark, d, "orders", ["amount", "weight", "city"])).select("col", "n_dressed", "n_units", "n_symbols", "auto")
+
+
+@query("c16_dates", sql.values("orders", ["odate", "due", "iso_date"]) + f"""SELECT v.col, count(DISTINCT {sql.style('raw')}) AS n_styles, bool_or({sql.style('raw')} = 'numeric' AND CAST(nullif(regexp_extract(raw, '^(\\d{{1,2}})[-/.]', 1), '') AS INT) > 12) AS dayfirst,
+  CAST(sum(n) FILTER (WHERE {sql.iso_date('raw', 'true')} <> trim(raw)) AS BIGINT) AS n_changing, true AS auto, 'medium' AS severity FROM vals v WHERE NOT missing AND col = 'odate' GROUP BY v.col""")
+def c16_dates(spark, d):
+    return C.date_formats(view(spark, d, "orders", ["odate", "due", "iso_date"]))
+
+
+@query("c17_booleans", sql.values("orders", ["flag", "city"]) + f"SELECT v.col, CAST(sum(n) AS BIGINT) AS n_values, CAST(sum(n) FILTER (WHERE {sql.truth('raw')} IS NOT NULL) AS BIGINT) AS n_parsed, count(DISTINCT lower(trim(raw))) AS n_spellings FROM vals v WHERE col = 'flag' GROUP BY v.col")
+def c17_booleans(spark, d):
+    return C.booleans(view(spark, d, "orders", ["flag", "city"]))
+
+
+@query("c18_out_of_band", sql.values("orders", ["qty", "level"]) + _NUMBERS + """, far AS (SELECT n.col, num AS code, count(*) AS n, med AS median, row_number() OVER (PARTITION BY n.col ORDER BY count(*) DESC, num) AS p FROM nums n JOIN fence USING (col)
+  WHERE support >= 30 AND mad > 0 AND num IS NOT NULL GROUP BY n.col, num, med, mad, support HAVING count(*) >= 5 AND count(*) / support <= 0.25 AND abs(num - med) / mad >= 12 AND NOT (num IN (0, 1, -1) AND abs(med) < 10))
+SELECT col, code, n, median FROM far WHERE p = 1""")
+def c18_out_of_band(spark, d):
+    return C.codes(view(spark, d, "orders", ["qty", "level"]))
+
+
+_KEY = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(norm, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '(\s(inc|ltd|the|co))+$', ''), '^((inc|ltd|the|co)\s)+', ''))"
+
+
+@query("c19_entities", sql.values("orders", ["vendor"]) + f", k AS (SELECT col, raw, norm, n, {_KEY} AS key FROM vals WHERE NOT missing), g AS (SELECT *, first_value(raw) OVER (PARTITION BY col, key ORDER BY n DESC, length(raw) DESC, raw) AS canonical FROM k WHERE length(key) >= 3), m AS (SELECT col, key FROM k GROUP BY col, key HAVING count(DISTINCT norm) > 1) SELECT g.col, g.key, canonical, raw, n FROM g JOIN m USING (col, key)")
+def c19_entities(spark, d):
+    return C.entities(view(spark, d, "orders", ["vendor"]))
+
+
+@query("c20_invisible", sql.values("orders", ["city", "note"]) + "SELECT col, CAST(sum(n) AS BIGINT) AS n_cells FROM vals WHERE contains(raw, '\u200b') OR contains(raw, '\u00a0') GROUP BY col")
+def c20_invisible(spark, d):
+    return C.invisible(view(spark, d, "orders", ["city", "note"]))
+
+
+@query("c21_markup", sql.values("orders", ["note", "city"]) + r"SELECT v.col, CAST(sum(n) AS BIGINT) AS n_values, CAST(sum(n) FILTER (WHERE regexp_matches(raw, '</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|&(amp|euro);')) AS BIGINT) AS n_markup FROM vals v WHERE col = 'note' AND NOT missing GROUP BY v.col")
+def c21_markup(spark, d):
+    return C.markup(view(spark, d, "orders", ["note", "city"]))
+
+
+@query("c21_markup_pages", r"SELECT page_id, regexp_matches(html, '</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>') AS got FROM pages")
+def c21_markup_pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.has_markup(F.col("html")).alias("got"))
+
+
+@query("c22_ordering", f"WITH {sql.dirty('lines')} SELECT 'shipped' AS \"left\", 'received' AS \"right\", 'date' AS kind, count(*) AS support, round(sum((shipped <= received)::INT) / count(*), 6) AS share, CAST(sum((shipped > received)::INT) AS BIGINT) AS n_broken FROM dirty")
+def c22_ordering(spark, d):
+    return R.orderings(view(spark, d, "lines", ["shipped", "received", "flag"])).withColumn("share", F.round("share", 6))
+
+
+_SIX = ["cust", "status", "total", "odate", "priority"]
+_FIVE = ", ".join(_SIX)
+
+
+@query("d1_duplicates", f"WITH {sql.dirty('copies')}, g AS (SELECT count(*) AS n FROM dirty GROUP BY {_FIVE} HAVING count(*) > 1) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) - count(*) AS BIGINT) AS n_redundant FROM g")
+def d1_duplicates(spark, d):
+    return D.duplicate_summary(view(spark, d, "copies", _SIX)).select("n_groups", "n_rows", "n_redundant")
+
+
+@query("d1_duplicate_rows", f"WITH {sql.dirty('copies')} SELECT rid FROM (SELECT rid, count(*) OVER (PARTITION BY {_FIVE}) AS n FROM dirty) WHERE n > 1")
+def d1_duplicate_rows(spark, d):
+    return _rid(D.duplicate_rows(view(spark, d, "copies", _SIX)))
+
+
+_NEAR = f"""WITH {sql.dirty('copies')}, r AS (SELECT rid, split, CAST(total AS DOUBLE) AS x, cust, status, odate, priority FROM dirty),
+g AS (SELECT cust, status, odate, priority FROM r GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50),
+iqr AS (SELECT quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS s FROM r),
+near AS (SELECT a.rid AS a, b.rid AS b, a.split AS sa, b.split AS sb, a.x AS xa, b.x AS xb FROM r a JOIN g USING (cust, status, odate, priority) JOIN r b USING (cust, status, odate, priority), iqr WHERE a.rid < b.rid AND abs(a.x - b.x) <= 0.05 * s)"""
+
+
+@query("d2_near_numeric", _NEAR + f", e AS (SELECT rid FROM (SELECT rid, count(*) OVER (PARTITION BY {_FIVE}) AS n FROM dirty) WHERE n > 1) SELECT a, b, 'total' AS differs FROM near WHERE NOT (a IN (SELECT rid FROM e) AND b IN (SELECT rid FROM e))")
+def d2_near_numeric(spark, d):
+    return D.near_duplicates(view(spark, d, "copies", _SIX)).withColumn("differs", F.lit("total"))
+
+
+@query("d2_near_text")
+def d2_near_text(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("length(text) < 2000").select("doc_id", "lang", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    pairs = docs.alias("p").join(docs.alias("q"), F.expr("p.lang = q.lang and substring(p.text, 1, 40) = substring(q.text, 1, 40) and p.doc_id < q.doc_id")).selectExpr("p.doc_id as a", "q.doc_id as b")
+    return D.similar_texts(Table(as_strings(docs, "doc_id").drop("doc_id")), "text", pairs).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("d3_imbalance", f"WITH {sql.dirty('events')}, c AS (SELECT tier AS label, count(*) AS n FROM dirty GROUP BY tier), s AS (SELECT *, n / sum(n) OVER () AS share FROM c) SELECT label, n, round(share, 6) AS share, CASE WHEN n < 5 THEN 'medium' ELSE 'low' END AS severity FROM s WHERE n = (SELECT min(n) FROM s) AND (share < 0.05 OR n < 10)")
+def d3_imbalance(spark, d):
+    return D.class_imbalance(view(spark, d, "events", ["tier"]), "tier").withColumn("share", F.round("share", 6))
+
+
+@query("d3_class_sizes", f"WITH {sql.dirty('events')} SELECT kind AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM dirty GROUP BY kind")
+def d3_class_sizes(spark, d):
+    return D.class_sizes(view(spark, d, "events", ["kind"]), "kind").withColumn("share", F.round("share", 6))
+
+
+@query("d4_overlap_exact", f"WITH {sql.dirty('copies')}, g AS (SELECT {_FIVE} FROM dirty GROUP BY {_FIVE} HAVING count(DISTINCT split) > 1) SELECT rid FROM dirty JOIN g USING ({_FIVE})")
+def d4_overlap_exact(spark, d):
+    return _rid(D.exact_overlap(view(spark, d, "copies", [*_SIX, "split"]), "split"))
+
+
+@query("d4_overlap_near", _NEAR + " SELECT DISTINCT rid FROM (SELECT a AS rid FROM near WHERE sa <> sb UNION ALL SELECT b FROM near WHERE sa <> sb)")
+def d4_overlap_near(spark, d):
+    return _rid(D.near_overlap(view(spark, d, "copies", [*_SIX, "split"]), "split"))
+
+
+@query("d5_totals", "SELECT CAST(4000000000 AS BIGINT) AS rid, 1 AS n_matched, 2 AS n_compared, true AS labelled, true AS auto")
+def d5_totals(spark, d):
+    return _rid(D.totals_row(view(spark, d, "totals", ["item", "a", "b"])).drop("columns")).select("rid", "n_matched", "n_compared", "labelled", "auto")
+
+
+@query("r1_mislabels")
+def r1_mislabels(spark, d):
+    t = view(spark, d, "lines", ["flag", "flag_text", "qty"])
+    wrong = Table(t.df.withColumn("flag", F.when(F.pmod(F.xxhash64(ROW), F.lit(200)) == 0, "N").otherwise(F.col("flag"))), t.columns)
+    return _rid(L.mislabels(wrong, "flag")[0])
+
+
+def _edit(name: str, columns: list[str], edit: Edit, oracle: str, view_name: str = "orders"):
+    @query(f"edit_{name}", f"WITH {sql.dirty(view_name)} {oracle}")
+    def run(spark, d):
+        return _rid(replay(view(spark, d, view_name, columns).df, [edit]))
+
+
+_edit("drop_rows", ["status"], Edit("drop_rows", rows=tuple(range(0, 200, 2))), "SELECT rid, status FROM dirty WHERE NOT (rid < 200 AND rid % 2 = 0)")
+_edit("drop_column", ["status", "region"], Edit("drop_column", "region"), "SELECT rid, status FROM dirty")
+_edit("relabel", ["status"], Edit("relabel", "status", values={3: "X", 5: "Y"}, rows=(7, 9), to="Z"), "SELECT rid, CASE WHEN rid IN (7, 9) THEN 'Z' WHEN rid = 3 THEN 'X' WHEN rid = 5 THEN 'Y' ELSE status END AS status FROM dirty")
+_edit("normalize_values", ["priority"], Edit("normalize_values", "priority", forms=("1-urgent", " 1-URGENT "), to="1-URGENT"), "SELECT rid, CASE WHEN priority IN ('1-urgent', ' 1-URGENT ') THEN '1-URGENT' ELSE priority END AS priority FROM dirty")
+_edit("blank_values", ["status"], Edit("blank_values", "status", forms=("N/A", "unknown")), f"SELECT rid, CASE WHEN {sql.norm('status')} IN ('n/a', 'unknown') THEN '' ELSE status END AS status FROM dirty")
+_edit("fill_missing", ["status"], Edit("fill_missing", "status", to="Unknown"), "SELECT rid, CASE WHEN trim(status) = '' THEN 'Unknown' ELSE status END AS status FROM dirty")
+_edit("fill_from_column", ["item", "price"], Edit("fill_from_column", "price", source="item", values={"3": "9", "4": "12"}), "SELECT rid, item, CASE WHEN trim(price) = '' AND item = '3' THEN '9' WHEN trim(price) = '' AND item = '4' THEN '12' ELSE price END AS price FROM dirty", "lines")
+_edit("fill_from_formula", ["qty", "price", "amount"], Edit("fill_from_formula", "amount", left="qty", right="price", operation="product"), "SELECT rid, qty, price, CASE WHEN trim(amount) = '' AND price NOT IN ('', 'ERROR') THEN CAST(CAST(qty AS INT) * CAST(price AS INT) AS VARCHAR) ELSE amount END AS amount FROM (SELECT rid, qty, CASE WHEN price = 'ERROR' THEN '' ELSE price END AS p, price, amount FROM dirty) x".replace("CAST(price AS INT)", "CAST(nullif(p, '') AS INT)"), "lines")
+_edit("reformat_number", ["amount"], Edit("reformat_number", "amount"), f"SELECT rid, coalesce({sql.literal('amount')}, amount) AS amount FROM dirty")
+_edit("reformat_date", ["odate"], Edit("reformat_date", "odate", dayfirst=True), f"SELECT rid, coalesce({sql.iso_date('odate', 'true')}, odate) AS odate FROM dirty")
+_edit("normalize_boolean", ["flag"], Edit("normalize_boolean", "flag"), f"SELECT rid, CAST({sql.truth('flag')} AS VARCHAR) AS flag FROM dirty")
+_edit("strip_markup", ["note"], Edit("strip_markup", "note"), r"SELECT rid, trim(regexp_replace(replace(replace(regexp_replace(note, '</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>', ' ', 'g'), '&euro;', '€'), '&amp;', '&'), '\s+', ' ', 'g')) AS note FROM dirty")
+_edit("strip_invisible", ["city"], Edit("strip_invisible"), "SELECT rid, replace(replace(city, '\u200b', ''), '\u00a0', ' ') AS city FROM dirty")
+_edit("trim", ["status", "priority"], Edit("trim"), "SELECT rid, trim(status) AS status, trim(priority) AS priority FROM dirty")
+_edit("dedupe", _SIX, Edit("dedupe"), f"SELECT min(rid) AS rid, {_FIVE} FROM dirty GROUP BY {_FIVE}", "copies")
+
+
+@query("replay_changed_counts", f"WITH {sql.dirty('orders')} SELECT 0 AS step, 'trim' AS op, CAST(NULL AS VARCHAR) AS \"column\", CAST(sum((status <> trim(status))::INT + (flag <> trim(flag))::INT) AS BIGINT) AS changed FROM dirty UNION ALL SELECT 1, 'blank_values', 'status', CAST(sum(({sql.norm('status')} IN ('n/a', 'unknown'))::INT) AS BIGINT) FROM dirty UNION ALL SELECT 2, 'fill_missing', 'status', CAST(sum(({sql.norm('status')} IN ('', 'n/a', 'unknown'))::INT) AS BIGINT) FROM dirty UNION ALL SELECT 3, 'normalize_boolean', 'flag', CAST(sum((flag NOT IN ('true', 'false'))::INT) AS BIGINT) FROM dirty")
+def replay_changed_counts(spark, d):
+    log = [Edit("trim"), Edit("blank_values", "status", forms=("N/A", "Unknown")), Edit("fill_missing", "status", to="None given"), Edit("normalize_boolean", "flag")]
+    return changes(view(spark, d, "orders", ["status", "flag"]).df, log)
+
+
+@query("replay_and_undo", f"WITH {sql.dirty('orders')} SELECT rid, trim(status) AS status FROM dirty")
+def replay_and_undo(spark, d):
+    from gristmill.operators.edits import undo
+
+    return _rid(replay(view(spark, d, "orders", ["status"]).df, undo([Edit("trim"), Edit("fill_missing", "status", to="x")])))
+
+
+_SOME = ["C1_missingness", "C2_constant", "C3_id_like", "C14_untrimmed", "C20_invisible_characters", "C11_sentinel_values"]
+
+
+@query("issues_ranked", sql.values("orders", ["order_id", "status", "city", "region"]) + """, f AS (
+  SELECT 'missing:' || col AS id, 'low' AS severity, n_missing AS total, 1 AS seq FROM prof WHERE missing_fraction > 0.05 AND missing_fraction <= 0.3
+  UNION ALL SELECT 'sentinel:status', 'medium', (SELECT CAST(sum(n) AS BIGINT) FROM vals WHERE sentinel AND col = 'status'), 2
+  UNION ALL SELECT 'untrimmed', 'low', (SELECT count(*) FROM dirty WHERE status <> trim(status)), 3
+  UNION ALL SELECT 'invisible', 'medium', (SELECT count(*) FROM dirty WHERE contains(city, '\u200b') OR contains(city, '\u00a0')), 4
+  UNION ALL SELECT 'constant:region', 'low', (SELECT count(*) FROM dirty), 5 UNION ALL SELECT 'id_column:order_id', 'medium', (SELECT count(DISTINCT order_id) FROM dirty), 6)
+SELECT CAST(row_number() OVER (ORDER BY severity = 'low', total DESC, seq) - 1 AS INT) AS place, id, severity, total AS total_affected FROM f""")
+def issues_ranked(spark, d):
+    found = audit(view(spark, d, "orders", ["order_id", "status", "city", "region"]), checks=_SOME)
+    return found.issues().select("place", "id", "severity", "total_affected")
+
+
+@query("issue_rows", f"WITH {sql.dirty('orders')} SELECT 'missing:status' AS issue_id, rid FROM dirty WHERE {sql.missing('status')}")
+def issue_rows(spark, d):
+    return _rid(audit(view(spark, d, "orders", ["status"]), checks=["C1_missingness"]).issue_rows())
+
+
+@query("summary", f"WITH {sql.dirty('orders')} SELECT 0 AS high, 2 AS medium, 2 AS low, (SELECT count(*) FROM dirty WHERE {sql.missing('status')} OR {sql.sentinel('status')} OR status <> trim(status) OR contains(city, '\u200b') OR contains(city, '\u00a0')) AS rows_affected")
+def summary(spark, d):
+    s = audit(view(spark, d, "orders", ["status", "city"]), checks=_SOME).summary()
+    return spark.createDataFrame([(s["high"], s["medium"], s["low"], s["rows_affected"])], "high int, medium int, low int, rows_affected long")
+
+
+@query("row_pager", f"WITH {sql.dirty('orders')} SELECT rid, status FROM dirty WHERE {sql.missing('status')} ORDER BY rid LIMIT 50 OFFSET 50")
+def row_pager(spark, d):
+    return _rid(audit(view(spark, d, "orders", ["status"]), checks=["C1_missingness"]).page("missing:status", 1))
+
+
+@query("fix_plan")
+def fix_plan(spark, d):
+    found = audit(view(spark, d, "orders", ["order_id", "status", "flag", "odate", "city", "region"]), checks=[*_SOME, "C16_mixed_date_formats", "C17_inconsistent_booleans"])
+    return spark.createDataFrame([(k, e.op, e.column) for k, e in enumerate(safe_fixes(found.findings))], "step int, op string, column string")
+
+
+_JUNK = r"(trim({0}) = '' OR {1} OR regexp_matches(trim({0}), '(?i)^[($]|%$|,\d{{3}}|\s(c|kg|km|m|cm|f)$|\)$') OR {0} <> trim({0}))"
+
+
+@query("score_junk", f"WITH {sql.dirty('orders')}, {sql.cells(['status', 'amount', 'weight'])} SELECT count(*) FILTER (WHERE {_JUNK.format('raw', sql.sentinel('raw'))}) AS junk FROM cells")
+def score_junk(spark, d):
+    return scoring.junk(view(spark, d, "orders", ["status", "amount", "weight"]))
+
+
+_CLEANED = f"c AS (SELECT rid, trim(status) AS got, CASE WHEN {sql.sentinel('status')} THEN '' ELSE trim(status) END AS want, status AS old FROM dirty)"
+
+
+@query("score_agreement", f"WITH {sql.dirty('orders')}, {_CLEANED} SELECT 'status' AS col, count(*) AS compared, count(*) FILTER (WHERE trim(got) = trim(want)) AS same FROM c WHERE want <> ''")
+def score_agreement(spark, d):
+    dirty = view(spark, d, "orders", ["status"])
+    clean = Table(replay(dirty.df, [Edit("trim")]), ["status"])
+    ideal = Table(replay(dirty.without_sentinels().df, [Edit("trim")]), ["status"])
+    return scoring.agreement(clean, ideal)
+
+
+@query("score_damage", f"WITH {sql.dirty('orders')} SELECT 'flag' AS col, count(*) AS were_right, count(*) FILTER (WHERE flag NOT IN ('true', 'false')) AS broken FROM dirty")
+def score_damage(spark, d):
+    dirty = view(spark, d, "orders", ["flag"])
+    return scoring.damage(dirty, Table(replay(dirty.df, [Edit("normalize_boolean", "flag")]), ["flag"]), dirty)
+
+
+@query("csv_export", f"""WITH {sql.dirty('orders')} SELECT rid, CASE WHEN regexp_matches(note, '[",;\\n\\r\\t]') THEN '"' || replace(note, '"', '""') || '"' ELSE note END || ',' || CASE WHEN contains(amount, ',') THEN '"' || amount || '"' ELSE amount END AS value FROM dirty""")
+def csv_export(spark, d):
+    from gristmill.sources.sinks import csv_lines
+
+    return _rid(csv_lines(view(spark, d, "orders", ["note", "amount"]).df))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
