@@ -5,7 +5,8 @@ frequency, which comes from a count sketch of fixed size over all documents. A p
 least t must meet in the prefixes of both: the first ``n - ceil(t n) + l`` shingles. ``l`` adapts to each
 document: it grows with the share of frequent shingles in the prefix, which is what candidates cost. With
 suffixes of lengths sx and sy, two sets that link share at least ``alpha - max(sx, sy)`` prefix shingles,
-where alpha is the overlap that t needs; so a longer prefix asks for more matches before verification.
+where alpha is the overlap that t needs; so a longer prefix asks for more matches before verification. For a
+given number of matches only the corresponding part of both prefixes is joined.
 
 Documents with one set of shingles are one node from the start. Pairs are not enumerated at once: first each
 list of a shingle links its members to the one with the most frequent prefix and to the next in size, and
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, table
@@ -157,7 +158,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, bar: float, percent: int) -> tuple
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> DataFrame:
-    """(tok, sig, n, rest): one row for each prefix shingle of each distinct set that a task meets."""
+    """(tok, sig, n, rest, pos): one row for each prefix shingle of each distinct set that a task meets."""
     mean = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast((sketch, mean + 5 * mean**0.5 + 3))
 
@@ -182,9 +183,10 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> Da
             if tok:
                 size = [len(p) for p in tok]
                 spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), spread(sig), spread(n), spread(rest)], ["tok", "sig", "n", "rest"])
+                pos = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), spread(sig), spread(n), spread(rest), pos], ["tok", "sig", "n", "rest", "pos"])
 
-    return docs.mapInArrow(run, "tok long, sig long, n long, rest long")
+    return docs.mapInArrow(run, "tok long, sig long, n long, rest long, pos int")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -227,13 +229,25 @@ def verified(docs: DataFrame, pairs: DataFrame, seed: int, percent: int, name: s
     return table(both.select("x", "y", "a", "b").mapInPandas(judge, "x long, y long"), name + "-links")
 
 
-def _needed(percent: int) -> F.Column:
+def _overlap(percent: int, n: Column, m: Column) -> Column:
+    """Shingles that sets of these sizes have in common at least, if they link."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _needed(percent: int) -> Column:
     """Prefix shingles that two sets (n, rest and m, left) have in common at least, if they link."""
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    return F.greatest(F.lit(1), overlap - F.greatest("rest", "left"))
+    return F.greatest(F.lit(1), _overlap(percent, F.col("n"), F.col("m")) - F.greatest("rest", "left"))
+
+
+def _matches(percent: int) -> Column:
+    """Matches asked of a pair. A pair that links has k of them among the first n - overlap + k shingles of one set and
+    the first m - overlap + k of the other, for any k that the prefixes are long enough for. Few need short prefixes,
+    which hold fewer frequent shingles; many sort out more pairs. A quarter of what is possible does both.
+    """
+    return F.greatest(F.lit(1), F.floor(_needed(percent) / 4))
 
 
-def _sizes_fit(percent: int) -> F.Column:
+def _sizes_fit(percent: int) -> Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
@@ -254,7 +268,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         .withColumn("hub", F.max(F.struct((F.ceil(F.col("n") * percent / 100) - F.col("rest")).alias("l"), "sig", "n", "rest")).over(list_of))
         .withColumn("prev", F.lag(F.struct("sig", "n", "rest")).over(in_order))
         .where("lo <> hi and (prev is null or prev.sig <> sig)")
-        .select("tok", "sig", "n", "rest", "hub", "prev")
+        .select("tok", "sig", "n", "rest", "pos", "hub", "prev")
     )
     lists = table(lists, "jaccard-lists")
     likely = lambda to: lists.select(F.col("sig").alias("x"), "n", "rest", F.col(f"{to}.sig").alias("y"), F.col(f"{to}.n").alias("m"), F.col(f"{to}.rest").alias("left"))
@@ -263,14 +277,19 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     links = verified(texts, table(few.select("x", "y"), "jaccard-likely"), seed, percent, "jaccard-sets1")
     roots = components(links)
 
-    spread = lists.select("tok", "sig", "n", "rest").join(roots, lists["sig"] == roots["node"], "left").select("tok", "sig", "n", "rest", F.coalesce("root", "sig").alias("root"))
-    apart = spread.withColumns({"lo": F.min("root").over(list_of), "hi": F.max("root").over(list_of)}).where("lo <> hi").drop("lo", "hi")
+    spread = lists.select("tok", "sig", "n", "rest", "pos").join(roots, lists["sig"] == roots["node"], "left").select("tok", "sig", "n", "rest", "pos", F.coalesce("root", "sig").alias("root"))
+    # A place in a list is of use if the smallest set of the list that fits in size could still match there.
+    smallest = F.greatest(F.min("n").over(list_of), F.ceil(F.col("n") * percent / 100))
+    overlap = _overlap(percent, F.col("n"), smallest)
+    useful = spread.withColumn("reach", F.col("n") - overlap + F.greatest(F.lit(1), F.floor((overlap - F.col("rest")) / 4))).where("pos < reach").drop("reach")
+    apart = useful.withColumns({"lo": F.min("root").over(list_of), "hi": F.max("root").over(list_of)}).where("lo <> hi").drop("lo", "hi")
     apart = table(apart, "jaccard-apart")
-    other = apart.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("root2"))
+    other = apart.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("pos").alias("at"), F.col("root").alias("root2"))
     mine = apart.withColumnRenamed("sig", "x")
+    k, both = _matches(percent), _overlap(percent, F.col("n"), F.col("m"))
     open_pairs = (
-        mine.join(other, "tok").where("x < y and root <> root2").where(_sizes_fit(percent))
-        .groupBy("x", "y", "n", "rest", "m", "left").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _needed(percent))
+        mine.join(other, "tok").where("x < y and root <> root2").where(_sizes_fit(percent)).where((F.col("pos") < F.col("n") - both + k) & (F.col("at") < F.col("m") - both + k))
+        .groupBy("x", "y", "n", "rest", "m", "left").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     )
     open_pairs = table(open_pairs.select("x", "y"), "jaccard-open")
     if open_pairs.limit(1).count():
