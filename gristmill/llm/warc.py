@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, table
+from .common import bounded_batches, read, shared_dir, table
 
 LEAST = 1000
 SAMPLE = 4 << 20
@@ -104,7 +104,7 @@ class Writer:
     def _open(self) -> None:
         name = f"pages-{uuid.uuid4().hex}.warc.zst"
         self.path = f"{self.prefix}{self.folder.rstrip('/')}/{name}"
-        self.out = self.files.open_output_stream(f"{self.folder.rstrip('/')}/{name}")
+        self.out = self.files.open_output_stream(f"{self.folder.rstrip('/')}/{name}", compression=None)
         learned = self._dictionary()
         packed = zstandard.ZstdCompressor(level=3).compress(learned.as_bytes())
         self.out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
@@ -134,7 +134,7 @@ class Writer:
 def records(path: str, block: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of one archive, read as a stream."""
     files, name = fs.FileSystem.from_uri(path)
-    with files.open_input_stream(name) as source:
+    with files.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path} does not start with a dictionary")
@@ -190,7 +190,7 @@ def write(pages: DataFrame, folder: str, most: int = ARCHIVE, sample: int = SAMP
         yield pd.DataFrame(writer.done, columns=["path", "n_records", "n_bytes"])
 
     # Ids go as text: pandas would make doubles of whole numbers beside nulls.
-    planned = plan(pages, **columns)
+    planned = plan(bounded_batches(pages), **columns)
     return table(planned.withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string")}).mapInPandas(archives, MANIFEST), "warc-manifest")
 
 
