@@ -90,7 +90,8 @@ def pivotal(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
 def giants(size: np.ndarray, p: np.ndarray, u: np.ndarray, share: float = 0.02) -> np.ndarray:
     """Settle the leading entries that are large against all that follow: each trades words with the rest as a whole.
 
-    Paired one by one, a giant would outlast the small ones and be left over. Sizes fall; ``p`` is one number.
+    Paired one by one, a giant would outlast the small ones and be left over. Sizes fall; ``p`` is one number. A giant that
+    the rest can only balance in one direction goes that way: the source's words then stay near their target.
     """
     out = p.astype(float).copy()
     rest = size.sum() - np.cumsum(size)
@@ -99,9 +100,11 @@ def giants(size: np.ndarray, p: np.ndarray, u: np.ndarray, share: float = 0.02)
         if sa < share * sb or sb <= 0 or not (0.0 < a < 1.0) or not (0.0 < b < 1.0):
             break
         up, down = min((1.0 - a) * sa, b * sb), min(a * sa, (1.0 - b) * sb)
-        moved = up if u[k] * (up + down) < down else -down
-        ends = (1.0, 0.0) if moved > 0 else (0.0, 1.0)
-        whole_a = ((1.0 - a) * sa <= b * sb) if moved > 0 else (a * sa <= (1.0 - b) * sb)
+        rises, falls = (1.0 - a) * sa <= b * sb, a * sa <= (1.0 - b) * sb
+        goes_up = u[k] * (up + down) < down if rises == falls else rises
+        moved = up if goes_up else -down
+        ends = (1.0, 0.0) if goes_up else (0.0, 1.0)
+        whole_a = rises if goes_up else falls
         out[k] = ends[0] if whole_a else a + moved / sa
         out[k + 1 :] = b - moved / sb if whole_a else ends[1]
     return out
@@ -159,21 +162,20 @@ def allot(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    columns = docs.columns
+    """The rows of ``docs`` as often as the mix takes them. Rows travel as one struct, so no column name clashes."""
     key = F.xxhash64(text)
     copies = (
         allot(docs, id, text, source, key=key, **options)
         .groupBy("_id", "_key", "_source")
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        .where("_copies > 0")
+        .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+        .where("copies > 0")
     )
-    keyed = docs.withColumn("_k", key)
-    same = keyed[id].eqNullSafe(copies["_id"]) & (keyed["_k"] == copies["_key"]) & keyed[source].eqNullSafe(copies["_source"])
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id).alias("id"), key.alias("key"), F.col(source).alias("from"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & F.col("from").eqNullSafe(F.col("_source"))
     met = keyed.join(copies, same)
     # Wholly repeated rows share a count: one of them stands for all.
-    rows = met.where("_rows = 1").unionByName(met.where("_rows > 1").dropDuplicates(["_id", "_key", "_source"]))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+    rows = met.where("rows = 1").unionByName(met.where("rows > 1").dropDuplicates(["_id", "_key", "_source"]))
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
