@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 # The white space and the pretoken pattern of this vocabulary.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 WINDOW = 1 << 16
-REMEMBER = 300_000
+REMEMBER = 200_000
 LONG = 64
 RESULT = "ids binary, decoded string"
 
@@ -263,7 +263,7 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 
 def bpe_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    coded = docs.select(F.col(id), round_trip(F.col(text), path).alias("_bpe"))
+    coded = bounded_batches(docs).select(F.col(id), round_trip(F.col(text), path).alias("_bpe"))
     return coded.select(
         id,
         F.expr("cast(octet_length(_bpe.ids) div 4 as bigint)").alias("n_tokens"),

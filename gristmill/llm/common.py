@@ -33,6 +33,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let at most about ``BATCH`` bytes go to a Python worker at once, however long texts are."""
+    conf = df.sparkSession.conf
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        if not 0 < _bytes(conf.get(name)) <= BATCH:
+            conf.set(name, f"{BATCH}b")
+    return df
+
+
+def _bytes(size: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = size.strip().lower().removesuffix("b") or "0"
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

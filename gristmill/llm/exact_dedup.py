@@ -57,18 +57,17 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", suppor
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    columns = docs.columns
-    keyed = docs.withColumns({"_digest": digest(F.col(text)), "_len": F.length(F.coalesce(F.col(text), F.lit("")))})
+    """The rows of ``docs`` that stay, with all their columns. Rows travel as one struct, so no column name clashes."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id).alias("id"), digest(F.col(text)).alias("digest"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
     groups = exact_groups(docs, id, text, support)
     # Only rows of groups with copies are named: losers go, repeats of a winning row are thinned to one.
-    marks = groups.where("group_size > 1").groupBy(F.col(id).alias("_id"), F.col("text_sha256").alias("_mark"), F.col("n_code_points").alias("_n")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    marks = marks.where("not _kept or _rows > 1")
-    same = keyed[id].eqNullSafe(marks["_id"]) & (keyed["_digest"] == marks["_mark"]) & (keyed["_len"] == marks["_n"])
+    marks = groups.where("group_size > 1").groupBy(F.col(id).alias("id2"), F.col("text_sha256").alias("digest2"), F.col("n_code_points").alias("n2")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    marks = marks.where("not kept or rows > 1")
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("digest") == F.col("digest2")) & (F.col("n") == F.col("n2"))
     met = keyed.join(marks, same, "left")
-    single = met.where("_kept is null")
-    repeated = met.where("_kept").dropDuplicates(["_id", "_digest", "_len"])
-    return single.unionByName(repeated).select(*columns)
+    single = met.where("kept is null")
+    repeated = met.where("kept").dropDuplicates(["id", "digest", "n"])
+    return single.unionByName(repeated).select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

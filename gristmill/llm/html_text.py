@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 PAGES = 700
 TREES = 60
@@ -443,7 +443,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", at_once: i
                 out += texts(model.value, waiting)
             yield pd.Series(out, dtype=object)
 
-    return pages.withColumn(text, main_text(F.col(html)))
+    return bounded_batches(pages).withColumn(text, main_text(F.col(html)))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

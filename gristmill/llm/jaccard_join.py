@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import bounded_batches, read, table
 from .components import components
 from .fixed_state import accumulated, bloom, may_hold, mix, packed
 
 PERCENT = 75
 SHINGLE = 5
+SHARE_OF_MATCHES = 8  # a pair is asked for this part of the matches that its prefixes could show
 SKETCH_BITS = 22  # counters of the frequency sketch; a fixed number, whatever the corpus
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 U = np.uint64
 
 
@@ -62,7 +63,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def _word_hashes(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a buffer that begins and ends with white space."""
     b = np.frombuffer(data, np.uint8)
-    letter, up, inverse = _powers(1 << max(22, len(b).bit_length()), seed)
+    letter, up, inverse = _powers(1 << max(21, len(b).bit_length()), seed)
     space = _IS_SPACE[b]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
@@ -242,9 +243,14 @@ def _needed(percent: int) -> Column:
 def _matches(percent: int) -> Column:
     """Matches asked of a pair. A pair that links has k of them among the first n - overlap + k shingles of one set and
     the first m - overlap + k of the other, for any k that the prefixes are long enough for. Few need short prefixes,
-    which hold fewer frequent shingles; many sort out more pairs. A quarter of what is possible does both.
+    which hold fewer frequent shingles; many sort out more pairs. A part of what is possible does both.
     """
-    return F.greatest(F.lit(1), F.floor(_needed(percent) / 4))
+    return F.greatest(F.lit(1), F.floor(_needed(percent) / SHARE_OF_MATCHES))
+
+
+def _places_fit(both: Column) -> Column:
+    """Whether a match at places pos and at leaves room for the overlap: shared shingles before it are before it in both sets."""
+    return F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("at") - 1) >= both
 
 
 def _sizes_fit(percent: int) -> Column:
@@ -253,7 +259,7 @@ def _sizes_fit(percent: int) -> Column:
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
-    pairs_in = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    pairs_in = bounded_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     texts = pairs_in.select("text")
     for seed in range(1, 5):
         rows, sketch = describe(pairs_in, seed)
@@ -281,14 +287,14 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     # A place in a list is of use if the smallest set of the list that fits in size could still match there.
     smallest = F.greatest(F.min("n").over(list_of), F.ceil(F.col("n") * percent / 100))
     overlap = _overlap(percent, F.col("n"), smallest)
-    useful = spread.withColumn("reach", F.col("n") - overlap + F.greatest(F.lit(1), F.floor((overlap - F.col("rest")) / 4))).where("pos < reach").drop("reach")
+    useful = spread.withColumn("reach", F.col("n") - overlap + F.greatest(F.lit(1), F.floor((overlap - F.col("rest")) / SHARE_OF_MATCHES))).where("pos < reach").drop("reach")
     apart = useful.withColumns({"lo": F.min("root").over(list_of), "hi": F.max("root").over(list_of)}).where("lo <> hi").drop("lo", "hi")
     apart = table(apart, "jaccard-apart")
     other = apart.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("pos").alias("at"), F.col("root").alias("root2"))
     mine = apart.withColumnRenamed("sig", "x")
     k, both = _matches(percent), _overlap(percent, F.col("n"), F.col("m"))
     open_pairs = (
-        mine.join(other, "tok").where("x < y and root <> root2").where(_sizes_fit(percent)).where((F.col("pos") < F.col("n") - both + k) & (F.col("at") < F.col("m") - both + k))
+        mine.join(other, "tok").where("x < y and root <> root2").where(_sizes_fit(percent)).where((F.col("pos") < F.col("n") - both + k) & (F.col("at") < F.col("m") - both + k) & _places_fit(both))
         .groupBy("x", "y", "n", "rest", "m", "left").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     )
     open_pairs = table(open_pairs.select("x", "y"), "jaccard-open")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 BITS = 14
 PER_LANGUAGE = 400
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
                     out.append((name, h, at.astype("<u4").tobytes(), f[at].astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["lang", "h", "at", "share"])
 
-    rows = sample.mapInPandas(sparse, "lang string, h long, at binary, share binary").collect()  # at most ``most`` rows of bounded size
+    rows = bounded_batches(sample).mapInPandas(sparse, "lang string, h long, at binary, share binary").collect()  # at most ``most`` rows of bounded size
     rows = sorted(rows, key=lambda r: (r["h"], r["lang"], r["at"]))[:most]
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):
@@ -198,7 +198,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_said", predict(F.col(text))).withColumns({"lang_pred": F.col("_said.lang"), "score": F.col("_said.score")}).drop("_said")
+    told = bounded_batches(docs).select(F.struct("*").alias("doc"), predict(F.col(text)).alias("said"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return told.select(*[F.col(f"doc.`{c}`").alias(c) for c in kept], F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import pieces, runs
-from .common import read, table
+from .common import bounded_batches, read, table
 from .fixed_state import bloom, may_hold
 
 LENGTH = 200
@@ -195,7 +195,7 @@ def _counted(found: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of every document; kept: the remaining bytes."""
-    named = docs.select(F.col(id).alias("id"), F.hash(F.col(text)).alias("th"), F.col(text).alias("text"))
+    named = bounded_batches(docs).select(F.col(id).alias("id"), F.hash(F.col(text)).alias("th"), F.col(text).alias("text"))
     # Each range covers its windows' bytes: from the first start to the last start plus length.
     spans = repeated_runs(named, length).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", (F.col("b") + length).alias("b")))).alias("spans"))
     spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")

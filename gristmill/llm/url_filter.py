@@ -35,8 +35,7 @@ STACK = "array<struct<key:string,host:string,path:string,verdict:string>>"
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
-def host_and_path(url) -> tuple[F.Column, F.Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")) if isinstance(url, str) else url
+def host_and_path(rest) -> tuple[F.Column, F.Column]:
     host = fold_ascii(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -110,9 +109,11 @@ def url_filter(pages: DataFrame, rules: DataFrame | Iterable[tuple], url: str =
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), RULE_SCHEMA)
-    rest = F.when(F.instr(F.col(url), "://") > 0, F.col(url).substr(F.instr(F.col(url), "://") + 3, F.length(url)))
+    # Rows travel as one struct, so no column name clashes; columns named like the results are overwritten.
+    whole = pages.select(F.struct("*").alias("page"), F.col(url).alias("url"))
+    rest = F.when(F.instr("url", "://") > 0, F.substring("url", F.instr("url", "://") + 3, F.length("url")))
     host, path = host_and_path(rest)
-    urls = pages.withColumns({"host": host, "path": path})
+    urls = whole.select("page", host.alias("host"), path.alias("path"))
     hosts = urls.select("host").where("host <> ''").distinct().withColumn("key", reversed_key(F.col("host")))
     found = stacks(hosts, rules, ranges)
     fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
@@ -122,12 +123,9 @@ def url_filter(pages: DataFrame, rules: DataFrame | Iterable[tuple], url: str =
             lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("m"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")),
         )
     )
-    return (
-        urls.join(found, "host", "left")
-        .withColumn("best", best)
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))})
-        .drop("stack", "best")
-    )
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    told = urls.join(found, "host", "left").withColumn("best", best)
+    return told.select(*[F.col(f"page.`{c}`").alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
