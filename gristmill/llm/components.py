@@ -14,16 +14,16 @@ def components(edges: DataFrame, a: str = "x", b: str = "y", rounds: int = 60) -
     Labels spread to neighbours and then jump to their label's label, so paths shorten by halves.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = table(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    labels = table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "cc-labels")
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    # With an edge to itself a node's own label is among those of its neighbours.
+    both = table(both.unionByName(both.select("u", F.col("u").alias("v")).distinct()), "cc-edges")
+    labels = table(both.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), "cc-labels")
     for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("best"))
-        spread = labels.join(near, labels["node"] == near["u"]).select("node", "root", F.least("root", "best").alias("new"))
+        met = both.join(labels, both["v"] == labels["node"])
+        spread = met.groupBy("u").agg(F.min("root").alias("new"), F.min(F.when(F.col("u") == F.col("v"), F.col("root"))).alias("old"))
         over = labels.select(F.col("node").alias("at"), F.col("root").alias("there"))
-        jumped = table(
-            spread.join(over, spread["new"] == over["at"], "left").select("node", F.least("new", F.coalesce("there", "new")).alias("root"), (F.least("new", F.coalesce("there", "new")) < F.col("root")).alias("moved")),
-            "cc-labels",
-        )
+        jumped = spread.join(over, spread["new"] == over["at"]).select(F.col("u").alias("node"), F.least("new", "there").alias("root"), (F.least("new", "there") < F.col("old")).alias("moved"))
+        jumped = table(jumped, "cc-labels")
         labels = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return labels
