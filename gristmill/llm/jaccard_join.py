@@ -1,12 +1,11 @@
 """Exact Jaccard join of documents on five-word shingles with adaptive multi-match prefixes.
 
 All shingles stand in one global order: rare ones first, in hash order, then frequent ones by estimated
-frequency, which comes from a count sketch of fixed size over all documents. A pair with similarity of at
-least t must meet in the prefixes of both: the first ``n - ceil(t n) + l`` shingles. ``l`` adapts to each
-document: it grows with the share of frequent shingles in the prefix, which is what candidates cost. With
-suffixes of lengths sx and sy, two sets that link share at least ``alpha - max(sx, sy)`` prefix shingles,
-where alpha is the overlap that t needs; so a longer prefix asks for more matches before verification. For a
-given number of matches only the corresponding part of both prefixes is joined.
+frequency, which comes from a count sketch of fixed size over all documents. Two sets of sizes n and m that link
+share at least ``alpha`` shingles, so for any k they have k matches among the first ``n - alpha + k`` of one and
+``m - alpha + k`` of the other. k adapts to what candidates cost: both prefixes are lengthened, and more matches
+asked for, as far as only rare shingles come in; where the next shingles are frequent, k stays 1 and their
+long lists are left alone.
 
 Documents with one set of shingles are one node from the start. Pairs are not enumerated at once: first each
 list of a shingle links its members to the one with the most frequent prefix and to the next in size, and
@@ -37,7 +36,7 @@ from .fixed_state import accumulated, bloom, may_hold, mix, packed
 
 PERCENT = 75
 SHINGLE = 5
-SHARE_OF_MATCHES = 8  # a pair is asked for this part of the matches that its prefixes could show
+SHARE_OF_MATCHES = 4  # a pair is asked for this part of the matches that its prefixes could show
 SKETCH_BITS = 22  # counters of the frequency sketch; a fixed number, whatever the corpus
 BUFFER = 1 << 20
 U = np.uint64
@@ -146,20 +145,16 @@ def describe(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray, bar: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix shingles of a set in the global order, and the length of the suffix."""
+    """The longest prefix that a partner of any size can ask for, in the global order, and how many of the set's shingles are rare."""
     n = len(s)
-    need = -(-percent * n // 100)
     count = sketch[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
     often = np.where(count > bar, count, 0)
     order = np.lexsort((s, often))
-    base = n - need + 1
-    dear = int((often[order[:base]] > 0).sum())
-    length = min(n, base + (n // 8) * dear // base)  # l - 1 more, by the share of costly shingles
-    return s[order[:length]], n - length
+    return s[order[: n + 1 - -(-percent * n // 100)]], int((often == 0).sum())
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> DataFrame:
-    """(tok, sig, n, rest, pos): one row for each prefix shingle of each distinct set that a task meets."""
+    """(tok, sig, n, rare, pos): one row for each prefix shingle of each distinct set that a task meets."""
     mean = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast((sketch, mean + 5 * mean**0.5 + 3))
 
@@ -167,7 +162,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> Da
         sketch, bar = shared.value
         met: set[int] = set()
         for batch in batches:
-            tok, sig, n, rest = [], [], [], []
+            tok, sig, n, rare = [], [], [], []
             for s in shingle_sets(batch.column(0).to_pylist(), seed):
                 if not len(s):
                     continue
@@ -176,18 +171,18 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, seed: int, percent: int) -> Da
                     continue
                 if len(met) < 1 << 20:
                     met.add(name)
-                p, left = prefix(s, sketch, bar, percent)
+                p, k = prefix(s, sketch, bar, percent)
                 tok.append(p)
                 sig.append(name)
                 n.append(len(s))
-                rest.append(left)
+                rare.append(k)
             if tok:
                 size = [len(p) for p in tok]
                 spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), size))
                 pos = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), spread(sig), spread(n), spread(rest), pos], ["tok", "sig", "n", "rest", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), spread(sig), spread(n), spread(rare), pos], ["tok", "sig", "n", "rare", "pos"])
 
-    return docs.mapInArrow(run, "tok long, sig long, n long, rest long, pos int")
+    return docs.mapInArrow(run, "tok long, sig long, n long, rare long, pos int")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -235,17 +230,16 @@ def _overlap(percent: int, n: Column, m: Column) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
-def _needed(percent: int) -> Column:
-    """Prefix shingles that two sets (n, rest and m, left) have in common at least, if they link."""
-    return F.greatest(F.lit(1), _overlap(percent, F.col("n"), F.col("m")) - F.greatest("rest", "left"))
+def _possible(percent: int, overlap: Column, largest: Column) -> Column:
+    """The most matches that can be asked of a pair: its prefixes are no longer. ``largest``: the larger size."""
+    return overlap - F.ceil(largest * percent / 100) + 1
 
 
 def _matches(percent: int) -> Column:
-    """Matches asked of a pair. A pair that links has k of them among the first n - overlap + k shingles of one set and
-    the first m - overlap + k of the other, for any k that the prefixes are long enough for. Few need short prefixes,
-    which hold fewer frequent shingles; many sort out more pairs. A part of what is possible does both.
-    """
-    return F.greatest(F.lit(1), F.floor(_needed(percent) / SHARE_OF_MATCHES))
+    """Matches to ask of a pair (n, rare and m, rare2): 1, or more while both prefixes hold rare shingles only."""
+    both, n, m = _overlap(percent, F.col("n"), F.col("m")), F.col("n"), F.col("m")
+    most = F.floor(_possible(percent, both, F.greatest(n, m)) / SHARE_OF_MATCHES)
+    return F.greatest(F.lit(1), F.least(most, F.col("rare") - (n - both), F.col("rare2") - (m - both)))
 
 
 def _places_fit(both: Column) -> Column:
@@ -271,31 +265,33 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     lists = (
         prefixes(texts, sketch, seed, percent)
         .withColumns({"lo": F.min("sig").over(list_of), "hi": F.max("sig").over(list_of)})
-        .withColumn("hub", F.max(F.struct((F.ceil(F.col("n") * percent / 100) - F.col("rest")).alias("l"), "sig", "n", "rest")).over(list_of))
-        .withColumn("prev", F.lag(F.struct("sig", "n", "rest")).over(in_order))
+        .withColumn("hub", F.max(F.struct((F.col("n") - F.col("rare")).alias("frequent"), "sig", "n")).over(list_of))
+        .withColumn("prev", F.lag(F.struct("sig", "n")).over(in_order))
         .where("lo <> hi and (prev is null or prev.sig <> sig)")
-        .select("tok", "sig", "n", "rest", "pos", "hub", "prev")
+        .select("tok", "sig", "n", "rare", "pos", "hub", "prev")
     )
     lists = table(lists, "jaccard-lists")
-    likely = lambda to: lists.select(F.col("sig").alias("x"), "n", "rest", F.col(f"{to}.sig").alias("y"), F.col(f"{to}.n").alias("m"), F.col(f"{to}.rest").alias("left"))
-    few = likely("hub").unionByName(likely("prev")).where("x <> y").where(_sizes_fit(percent)).groupBy("x", "y", "n", "rest", "m", "left").agg(F.count(F.lit(1)).alias("c"))
-    few = few.where(F.col("c") * 2 >= _needed(percent)).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where("r <= 3")
+    likely = lambda to: lists.select(F.col("sig").alias("x"), "n", F.col(f"{to}.sig").alias("y"), F.col(f"{to}.n").alias("m"))
+    few = likely("hub").unionByName(likely("prev")).where("x <> y").where(_sizes_fit(percent)).groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    hopeful = F.col("c") * 2 >= _possible(percent, _overlap(percent, F.col("n"), F.col("m")), F.greatest("n", "m"))
+    few = few.where(hopeful).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where("r <= 3")
     links = verified(texts, table(few.select("x", "y"), "jaccard-likely"), seed, percent, "jaccard-sets1")
     roots = components(links)
 
-    spread = lists.select("tok", "sig", "n", "rest", "pos").join(roots, lists["sig"] == roots["node"], "left").select("tok", "sig", "n", "rest", "pos", F.coalesce("root", "sig").alias("root"))
+    spread = lists.select("tok", "sig", "n", "rare", "pos").join(roots, lists["sig"] == roots["node"], "left").select("tok", "sig", "n", "rare", "pos", F.coalesce("root", "sig").alias("root"))
     # A place in a list is of use if the smallest set of the list that fits in size could still match there.
     smallest = F.greatest(F.min("n").over(list_of), F.ceil(F.col("n") * percent / 100))
     overlap = _overlap(percent, F.col("n"), smallest)
-    useful = spread.withColumn("reach", F.col("n") - overlap + F.greatest(F.lit(1), F.floor((overlap - F.col("rest")) / SHARE_OF_MATCHES))).where("pos < reach").drop("reach")
+    reach = F.col("n") - overlap + F.greatest(F.lit(1), F.least(F.floor(_possible(percent, overlap, F.col("n")) / SHARE_OF_MATCHES), F.col("rare") - (F.col("n") - overlap)))
+    useful = spread.withColumn("reach", reach).where("pos < reach").drop("reach")
     apart = useful.withColumns({"lo": F.min("root").over(list_of), "hi": F.max("root").over(list_of)}).where("lo <> hi").drop("lo", "hi")
     apart = table(apart, "jaccard-apart")
-    other = apart.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("pos").alias("at"), F.col("root").alias("root2"))
+    other = apart.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rare").alias("rare2"), F.col("pos").alias("at"), F.col("root").alias("root2"))
     mine = apart.withColumnRenamed("sig", "x")
     k, both = _matches(percent), _overlap(percent, F.col("n"), F.col("m"))
     open_pairs = (
         mine.join(other, "tok").where("x < y and root <> root2").where(_sizes_fit(percent)).where((F.col("pos") < F.col("n") - both + k) & (F.col("at") < F.col("m") - both + k) & _places_fit(both))
-        .groupBy("x", "y", "n", "rest", "m", "left").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
+        .groupBy("x", "y", "n", "rare", "m", "rare2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     )
     open_pairs = table(open_pairs.select("x", "y"), "jaccard-open")
     if open_pairs.limit(1).count():
