@@ -274,7 +274,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     likely = lambda to: lists.select(F.col("sig").alias("x"), "n", F.col(f"{to}.sig").alias("y"), F.col(f"{to}.n").alias("m"))
     few = likely("hub").unionByName(likely("prev")).where("x <> y").where(_sizes_fit(percent)).groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("c"))
     hopeful = F.col("c") * 2 >= _possible(percent, _overlap(percent, F.col("n"), F.col("m")), F.greatest("n", "m"))
-    few = few.where(hopeful).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where("r <= 3")
+    few = few.where(hopeful).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where("r <= 2")
     links = verified(texts, table(few.select("x", "y"), "jaccard-likely"), seed, percent, "jaccard-sets1")
     roots = components(links)
 
@@ -294,11 +294,15 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         .groupBy("x", "y", "n", "rare", "m", "rare2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     )
     open_pairs = table(open_pairs.select("x", "y"), "jaccard-open")
+    first = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
+    named = first
     if open_pairs.limit(1).count():
+        # Only what the new links join is worked on again: components, not their members.
         more = verified(texts, open_pairs, seed, percent, "jaccard-sets2")
-        if more.limit(1).count():
-            roots = components(links.unionByName(more))
-    named = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
+        name_of = lambda c: first.select(F.col("sig").alias(c), F.col("root").alias(f"{c}r"))
+        joined = components(more.join(name_of("x"), "x").join(name_of("y"), "y").select(F.col("xr").alias("x"), F.col("yr").alias("y")))
+        over = joined.select(F.col("node").alias("at"), F.col("root").alias("there"))
+        named = first.join(over, F.col("root") == F.col("at"), "left").select("sig", "id", F.coalesce("there", "root").alias("root"))
     named = table(named, "jaccard-named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     names = named.join(least, "root").select("sig", "component_id")
