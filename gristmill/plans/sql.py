@@ -12,7 +12,7 @@ def words(items: list[str]) -> str:
 
 
 def norm(v: str) -> str:
-    return f"lower(trim(regexp_replace({v}, '\\s+', ' ', 'g')))"
+    return f"lower(trim(regexp_replace(replace({v}, '\u00a0', ' '), '\\s+', ' ', 'g')))"
 
 
 def missing(v: str) -> str:
@@ -94,7 +94,7 @@ def values(view: str, columns: list[str]) -> str:
     return f"""WITH {dirty(view)}, {cells(columns)},
 counted AS (SELECT col, raw, count(*) AS n FROM cells GROUP BY col, raw),
 vals AS (SELECT *, {norm('raw')} AS norm, {missing('raw')} AS missing, {sentinel('raw')} AS sentinel, trim(raw) = '' AS blank, {number('raw')} AS num,
-  {dressed('raw')} AS dressed, CASE WHEN trim(raw) = '' THEN 0 ELSE len(string_split_regex(trim(raw), '\\s+')) END AS n_words FROM counted),
+  {dressed('raw')} AS dressed, CASE WHEN trim(raw) = '' THEN 0 ELSE len(string_split({norm('raw')}, ' ')) END AS n_words FROM counted),
 stats AS (SELECT col, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE missing), 0) AS BIGINT) AS n_missing, CAST(coalesce(sum(n) FILTER (WHERE NOT missing), 0) AS BIGINT) AS n_present,
   count(*) FILTER (WHERE NOT missing) AS n_unique, count(*) AS n_raw,
   coalesce(sum(n * n_words) FILTER (WHERE NOT missing), 0) / greatest(coalesce(sum(n) FILTER (WHERE NOT missing), 0), 1) AS mean_tokens,
