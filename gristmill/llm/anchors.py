@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 PLACE_BITS = 23  # of the smallest keys that hold a place in a buffer
 
 
@@ -51,7 +51,7 @@ def runs(data: bytes, ends: np.ndarray, length: int, grain: int) -> tuple[np.nda
     none = np.zeros(0, np.int64)
     if len(b) < length:
         return none, none, none, none, none.astype(U), none.astype(U)
-    size = 1 << max(21, (len(b) + 1).bit_length())
+    size = 1 << max(20, (len(b) + 1).bit_length())
     letter, up, inverse = _tables(size)
     sums = np.zeros(len(b) + 1, U)
     np.cumsum(letter[b] * up[: len(b)], out=sums[1:])

@@ -33,7 +33,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -57,14 +57,16 @@ def bloom(keys: DataFrame) -> np.ndarray:
     """A filter of fixed size over a column of longs: it may let others through, and misses none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
         for pdf in batches:
-            bits[bloom_places(pdf.iloc[:, 0].to_numpy()).ravel()] = True
-        yield pd.DataFrame(packed(np.packbits(bits)), columns=["slice", "data"])
+            at = bloom_places(pdf.iloc[:, 0].to_numpy()).ravel()
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pd.DataFrame(packed(bits), columns=["slice", "data"])
 
     parts = keys.mapInPandas(run, "slice int, data binary")
-    return np.unpackbits(accumulated(parts, (1 << BLOOM_BITS) // 8, np.uint8, np.bitwise_or))
+    return accumulated(parts, (1 << BLOOM_BITS) // 8, np.uint8, np.bitwise_or)
 
 
 def may_hold(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return bits[bloom_places(x)].all(axis=0)
+    at = bloom_places(x)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)

@@ -37,8 +37,8 @@ from .fixed_state import accumulated, bloom, may_hold, mix, packed
 PERCENT = 75
 SHINGLE = 5
 SHARE_OF_MATCHES = 4  # a pair is asked for this part of the matches that its prefixes could show
-SKETCH_BITS = 22  # counters of the frequency sketch; a fixed number, whatever the corpus
-BUFFER = 1 << 20
+SKETCH_BITS = 21  # counters of the frequency sketch; a fixed number, whatever the corpus
+BUFFER = 1 << 19
 U = np.uint64
 
 
@@ -62,7 +62,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def _word_hashes(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a buffer that begins and ends with white space."""
     b = np.frombuffer(data, np.uint8)
-    letter, up, inverse = _powers(1 << max(21, len(b).bit_length()), seed)
+    letter, up, inverse = _powers(1 << max(20, len(b).bit_length()), seed)
     space = _IS_SPACE[b]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]

@@ -250,4 +250,4 @@ def test_pipeline(spark):
 def test_shared_folder_and_batches(spark):
     assert shared_dir(spark).startswith("file://")
     bounded_batches(spark.range(1))
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8388608b"
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304b"
