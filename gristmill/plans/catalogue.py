@@ -326,9 +326,8 @@ def d2_near_numeric(spark, d):
 
 @query("d2_near_text")
 def d2_near_text(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("length(text) < 2000").select("doc_id", "lang", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    pairs = docs.alias("p").join(docs.alias("q"), F.expr("p.lang = q.lang and substring(p.text, 1, 40) = substring(q.text, 1, 40) and p.doc_id < q.doc_id")).selectExpr("p.doc_id as a", "q.doc_id as b")
-    return D.similar_texts(Table(as_strings(docs, "doc_id").drop("doc_id")), "text", pairs).withColumn("cosine", F.round("cosine", 6))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    return D.near_texts(Table(as_strings(docs, "doc_id").drop("doc_id")), "text").withColumn("cosine", F.round("cosine", 6))
 
 
 @query("d3_imbalance", f"WITH {sql.dirty('events')}, c AS (SELECT tier AS label, count(*) AS n FROM dirty GROUP BY tier), s AS (SELECT *, n / sum(n) OVER () AS share FROM c) SELECT label, n, round(share, 6) AS share, CASE WHEN n < 5 THEN 'medium' ELSE 'low' END AS severity FROM s WHERE n = (SELECT min(n) FROM s) AND (share < 0.05 OR n < 10)")

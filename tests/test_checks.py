@@ -145,3 +145,42 @@ def test_redundant(spark):
     t = table(spark, a=[i + 0.5 for i in range(n)], b=[(i + 0.5) * 0.92 for i in range(n)], c=[(i * 7919) % 101 for i in range(n)], d=["uvw"[i % 3] for i in range(n)], e=["UVW"[i % 3] + "x" for i in range(n)])
     assert cols(C.pearson(t), "a", "b") == [("a", "b")]
     assert cols(C.cramers_v(t), "a", "b") == [("d", "e")]
+
+
+def test_near_texts_against_brute_force(spark, tmp_path):
+    """All documents and whole texts: long ones, ones that differ at the start, more than 50 of a language, exact copies."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from gristmill.plans import catalogue
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([12, 60, 600]))) for _ in range(70)]
+    docs = [("en" if i % 8 else "fr", x) for i, x in enumerate(texts)]
+    for i in range(0, 40, 2):
+        lang, x = docs[i]
+        w = x.split()
+        k = max(1, len(w) * (i % 5) // 12)
+        docs.append((lang, " ".join([rng.choice(words) for _ in range(k)] + w[k:])))  # another beginning
+    docs += [docs[3], docs[3], docs[70], ("fr", docs[3][1] + " end"), ("en", docs[3][1] + " end"), ("en", ""), ("en", "?"), ("en", "Mot"), ("en", "mot.")]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bags = []
+    for _, x in docs:
+        w = re.findall(r"\b\w\w+\b", x.lower())
+        bags.append(Counter(w) + Counter(f"{p} {q}" for p, q in zip(w, w[1:])))
+    df = Counter(k for bag in bags for k in bag)
+    vectors = [{k: n * (math.log((1 + len(docs)) / (df[k] + 1)) + 1) for k, n in bag.items()} for bag in bags]
+    size = [math.sqrt(sum(x * x for x in v.values())) or 1.0 for v in vectors]
+    times = Counter(docs)
+    want = {}
+    for b in range(len(docs)):
+        for a in range(b):
+            cosine = sum(x * vectors[b].get(k, 0.0) for k, x in vectors[a].items()) / size[a] / size[b]
+            if docs[a][0] == docs[b][0] and cosine >= 0.7 and (times[docs[a]] == 1 or times[docs[b]] == 1):
+                want[a, b] = round(cosine, 5)
+    got = {(r["a"], r["b"]): round(r["cosine"], 5) for r in catalogue.queries()["d2_near_text"](spark, str(tmp_path)).collect()}
+    assert len(want) > 15 and any(len(docs[a][1]) > 2000 and docs[a][1][:40] != docs[b][1][:40] for a, b in want)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
