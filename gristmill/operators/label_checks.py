@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, HashingTF, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config
@@ -16,6 +18,8 @@ from gristmill.functions import scalars as S
 from .tables import ROW, Table, is_missing, present_number
 
 BINS = 64
+RANGES = 1024  # of the sorted values of a column with more than 4 * BINS of them
+BLOCK = 4096
 
 
 def _c(name: str) -> Column:
@@ -70,6 +74,24 @@ def tree_accuracy(counts: np.ndarray, depth: int = 3) -> float:
     return float(np.mean(scores))
 
 
+def _ranged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, fold, bin, y, n): values in sorted order, cut by exact counts into ranges of one ``RANGES``-th of the rows.
+
+    A range holds more only if one value does. Ranks come from ``zipWithIndex`` and rows before a value from sums of
+    blocks of ranks, so no task sees all values.
+    """
+    counts = rows.select("fold", "y", *[_c(c) for c in columns]).unpivot(["fold", "y"], [_c(c) for c in columns], "col", "raw").groupBy("col", "raw", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
+    values = counts.groupBy("col", "raw").agg(F.sum("n").alias("n")).orderBy("col", "raw")
+    ranked = rows.sparkSession.createDataFrame(values.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), "col string, raw string, n long, rank long")
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    blocks = ranked.groupBy("col", "block").agg(F.sum("n").alias("size"))
+    by_col = Window.partitionBy("col")
+    blocks = blocks.select("col", "block", (F.sum("size").over(by_col.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("before"), F.sum("size").over(by_col).alias("total"))
+    before = F.col("before") + F.sum("n").over(Window.partitionBy("col", "block").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    at = ranked.join(F.broadcast(blocks), ["col", "block"]).select("col", "raw", F.floor(before * RANGES / F.col("total")).cast("int").alias("bin"))
+    return counts.join(at, ["col", "raw"]).groupBy("col", "fold", "bin", "y").agg(F.sum("n").alias("n"))
+
+
 def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame, str | None]:
     """(col, accuracy, majority) of columns that alone predict the label.
 
@@ -85,7 +107,7 @@ def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame,
     number = {c: present_number(_c(c)) if t.kinds[c]["inferred_type"] == "numeric" else F.unix_micros(S.to_timestamp(_c(c)).cast("timestamp")).cast("double") for c in ordered}
     cuts = rows.agg(*[F.percentile_approx(number[c], [k / BINS for k in range(1, BINS)], 10_000).alias(f"q{k}") for k, c in enumerate(ordered)]).first() if ordered else {}
     few = {r["col"]: sorted(r["raws"]) for r in t.values.where(F.col("col").isin([c for c in usable if c not in ordered and t.kinds[c]["n_raw"] <= 4 * BINS] or [""])).groupBy("col").agg(F.collect_list("raw").alias("raws")).collect()}
-    bins = []
+    bins, many = [], []
     for c in usable:
         if c in number:
             bounds = sorted(set(cuts[f"q{ordered.index(c)}"] or []))
@@ -94,11 +116,14 @@ def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame,
             at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), lambda b: b < x))
         elif c in few:
             at = F.array_position(F.array(*[F.lit(v) for v in few[c]]), _c(c)).cast("int")
-        else:  # more values than bins: no order is kept
-            at = F.pmod(F.hash(_c(c)), F.lit(4 * BINS))
+        else:
+            many.append(c)
+            continue
         bins.append(F.struct(F.lit(c).alias("col"), at.cast("int").alias("bin")))
-    if bins:
-        counts = rows.select("fold", "y", F.explode(F.array(*bins)).alias("x")).groupBy("x.col", "fold", "x.bin", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    told = [rows.select("fold", "y", F.explode(F.array(*bins)).alias("x")).groupBy("x.col", "fold", "x.bin", "y").agg(F.count(F.lit(1)).alias("n"))] if bins else []
+    told += [_ranged(rows, many)] if many else []
+    if told:
+        counts = reduce(DataFrame.unionByName, told).toPandas()
     classes = sorted(r["y"] for r in rows.select("y").distinct().collect())
     sizes = rows.groupBy("y").count().agg(F.max("count") / F.sum("count")).first()[0]
     found = []

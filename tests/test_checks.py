@@ -184,3 +184,15 @@ def test_near_texts_against_brute_force(spark, tmp_path):
     got = {(r["a"], r["b"]): round(r["cosine"], 5) for r in catalogue.queries()["d2_near_text"](spark, str(tmp_path)).collect()}
     assert len(want) > 15 and any(len(docs[a][1]) > 2000 and docs[a][1][:40] != docs[b][1][:40] for a, b in want)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+
+@pytest.mark.parametrize("n", [1500, 2000])
+def test_leakage_keeps_the_order_of_many_codes(spark, n):
+    """Thousands of codes whose beginning is the label: one split of the sorted codes tells the classes apart."""
+    half = n // 2
+    code = [("A" if i < half else "B") + f"-{i * 37 % half:04d}" for i in range(n)]
+    plain = [f"K{i * 7919 % n:05d}" for i in range(n)]  # as many codes that say nothing of the label
+    label = ["yes" if i < half else "no" for i in range(n)]
+    t = table(spark, code=code, plain=plain, label=label, num=[i * 31 % 17 for i in range(n)])
+    found = L.leakage(t, "label")[0].collect()
+    assert [r["col"] for r in found] == ["code"] and found[0]["accuracy"] > 0.99
