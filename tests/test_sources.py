@@ -68,3 +68,25 @@ def test_sinks(spark, tmp_path):
     assert set(payload) == {"issues", "summary"} and payload["summary"]["medium"] >= 0
     assert "# Audit" in sinks.report(found, [(Edit("trim"), 3)]) and "trimmed 3 cells" in sinks.report(found, [(Edit("trim"), 3)])
     assert sinks.profile_payload(t)["n_rows"] == 2
+
+
+@pytest.mark.parametrize("case", ["windows-1252 late", "damaged late", "damaged pair at the head's end", "one sound row"])
+def test_encoding_and_repair_by_the_whole_file(spark, tmp_path, case):
+    """What the first 1 MiB does not show decides as well."""
+    filler = b"name,city\n" + b"Anna,Rom\n" * (R.HEAD_BYTES // 9 + 1000)
+    damaged = "café".encode().decode("cp1252").encode()
+    last, want = {
+        "windows-1252 late": ("José,Köln".encode("cp1252"), ("José", "Köln")),
+        "damaged late": (damaged + b",x", ("café", "x")),
+        "damaged pair at the head's end": (damaged + b",x", ("café", "x")),
+        "one sound row": (damaged + ",Köln".encode(), ("cafÃ©", "Köln")),
+    }[case]
+    if case == "damaged pair at the head's end":
+        start = b"name,city\n"
+        pad = R.HEAD_BYTES - len(start) - len(damaged) + 2  # the head ends between the two halves of the damaged character
+        filler = start + b"Anna,Rom\n" * ((pad - 3) // 9) + b"z" * ((pad - 3) % 9) + b",y\n"
+        assert (filler + last)[: R.HEAD_BYTES].endswith("Ã".encode())
+    path = tmp_path / "t.csv"
+    path.write_bytes(filler + last + b"\n")
+    df = R.read_delimited(spark, str(path))
+    assert tuple(df.orderBy(df[ROW].desc()).first())[1:] == want
