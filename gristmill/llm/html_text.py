@@ -11,7 +11,8 @@ the corpus. Features are computed for a batch of pages at once.
 
 Text: character references are decoded, white space inside a block becomes one space (so does <br>), blocks
 are joined in page order by one newline. A null or empty page gives an empty text; so does a page without
-main text. Pages of any length are read whole; repeated rows and ties are treated alike; extra columns pass
+main text. A head without an end tag ends at the first thing that cannot stand in it, and text in <math> counts.
+Pages of any length are read whole; repeated rows and ties are treated alike; extra columns pass
 through ``extract``.
 """
 
@@ -41,8 +42,9 @@ BLOCKS = (
     "body article aside header footer nav main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre form fieldset legend label figure figcaption address details summary hr menu dialog search iframe"
 ).split()
-SILENT = set("script style template head title noscript svg math select textarea button object audio video canvas datalist".split())
+SILENT = set("script style template head title noscript svg select textarea button object audio video canvas datalist".split())
 RAW = set("script style title textarea noscript".split())
+HEAD = set("base basefont bgsound link meta title style script noscript noframes template head html".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set(BLOCKS) - {"body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "label", "legend", "iframe"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
@@ -109,6 +111,9 @@ class Batch:
             name = m[2]
             if name is None:
                 text = m[0]
+                if stack[-1][0] == "head" and (text[0] != "<" or len(text) == 1) and not text.isspace():
+                    stack.pop()
+                    silent -= 1
                 if silent or text[0] == "<" and len(text) > 1:
                     continue
                 k = stack[-1][1]
@@ -145,6 +150,10 @@ class Batch:
                         break
                 continue
             attributes = m[3]
+            if stack[-1][0] == "head" and name not in HEAD:
+                # The end tag of a head may be left out: whatever cannot stand in it ends it.
+                stack.pop()
+                silent -= 1
             if name == "body":
                 self.hint[root] |= hint_mask(attributes)
                 continue

@@ -172,3 +172,12 @@ def test_html_edges(spark):
     assert got[4]["text"] == "T & U\nOne two three\na < b, c d &am\nx\ny"
     assert len(got[7]["text"]) == len("word " * 60000) - 1
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><meta charset=utf-8><body class=x>", "<head><title>T</title><link rel=x>", "<head><script>var a='<p>';</script><template><p>no</p></template><body>", "<head><title>T</title></head><body>"])
+def test_html_head_left_open_and_math(start):
+    """A page may leave out </head>; its text counts all the same, and so does that of formulas."""
+    story = "<article><h1>Big news of the day</h1><p>A long first paragraph, with words and <math><mi>x</mi><mo>=</mo><mn>42</mn></math> in it.</p><p>Then a second one, which says more.</p></article>"
+    want = "Big news of the day\nA long first paragraph, with words and x=42 in it.\nThen a second one, which says more."
+    nav = "<nav><a href=/>Home</a> <a href=/a>About</a></nav>"
+    assert html_text.texts(html_text.trained(), [f"<!DOCTYPE html><html>{start}{nav}{story}<footer>&copy; x</footer></html>"]) == [want]
