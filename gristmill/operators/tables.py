@@ -6,9 +6,10 @@ functions run once on each distinct value, and every per-column statistic is one
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config
@@ -17,13 +18,38 @@ from gristmill.functions import scalars as S
 ROW = "_row_id"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with dense ids ``_row_id`` in the order of its partitions and rows, without a pass through Python or one place.
+
+    Rows are counted by partition, and each partition begins where those before it end. Both passes need the same
+    partitions: scans give them; what was shuffled, and may be dealt anew, is written to the checkpoint folder first.
+    """
+    spark = df.sparkSession
+    placed = df.withColumn(ROW, F.monotonically_increasing_id())
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+        placed = placed.checkpoint()
+    part = F.shiftright(ROW, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each partition.
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    met = placed.join(F.broadcast(starts), part == F.col("_part"))
+    return met.withColumn(ROW, F.col("_start") + F.col(ROW).bitwiseAND((1 << 33) - 1)).drop("_part", "_start")
+
+
+def checkpoint_dir(spark) -> str:
+    """The folder all executors share; a temporary one only where none is set and one machine runs all, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="gristmill-")
+
+
 def as_strings(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """All columns as strings, nulls as empty, and ``_row_id``: the given column, or dense ids in file order."""
     if row_id is None and ROW not in df.columns:
-        # zipWithIndex counts partitions first, so ids are dense without gathering rows in one place.
-        schema = df.schema
-        numbered = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-        df = df.sparkSession.createDataFrame(numbered, schema.add(ROW, "long"))
+        df = numbered(df)
     elif row_id is not None:
         df = df.withColumn(ROW, F.col(row_id).cast("long"))
     return df.select(ROW, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns if c != ROW])

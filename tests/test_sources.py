@@ -4,10 +4,11 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.operators.audit import audit
 from gristmill.operators.edits import Edit
-from gristmill.operators.tables import ROW, Table
+from gristmill.operators.tables import ROW, Table, as_strings
 from gristmill.sources import delimited as R
 from gristmill.sources import sinks
 
@@ -22,6 +23,10 @@ CASES = {
     "two-row header": ("region,Q1,,Q2,\n,revenue,units,revenue,units\nx,1,2,3,4\ny,5,6,7,8\n", ["region", "Q1 revenue", "Q1 units", "Q2 revenue", "Q2 units"], [("x", "1", "2", "3", "4"), ("y", "5", "6", "7", "8")]),
     "ragged": ("a,b,c\n1,2\n3,4,5,6\n7,8,9\n", ["a", "b", "c"], [("1", "2", ""), ("3", "4", "5"), ("7", "8", "9")]),
     "blank and repeated names": ("a,,a\n1,2,3\n", ["a", "column_2", "a_2"], [("1", "2", "3")]),
+    "rows of empty cells": (",,\na,b,c\n1,2,3\n,,\n4,5,6\n\n", ["a", "b", "c"], [("1", "2", "3"), ("", "", ""), ("4", "5", "6")]),
+    "blank lines": ("a,b\n\n1,2\n   \n,\n3,4\n", ["a", "b"], [("1", "2"), ("", ""), ("3", "4")]),
+    "one column": ("a\nx\n\ny\n", ["a"], [("x",), ("y",)]),
+    "lone carriage returns": ("a,b\r1,2\r3,4\r", ["a", "b"], [("1", "2"), ("3", "4")]),
     "missing words stay": ("a,b\nN/A,\n", ["a", "b"], [("N/A", "")]),
 }
 
@@ -90,3 +95,31 @@ def test_encoding_and_repair_by_the_whole_file(spark, tmp_path, case):
     path.write_bytes(filler + last + b"\n")
     df = R.read_delimited(spark, str(path))
     assert tuple(df.orderBy(df[ROW].desc()).first())[1:] == want
+
+
+def test_many_tasks_limits_and_samples(spark, tmp_path):
+    """Lines are split among tasks and numbered in file order; limits refuse, folders are read by extension."""
+    (tmp_path / "big.CSV").write_text("id,name\n" + "".join(f"{k},n{k}\n" for k in range(40_000)))
+    (tmp_path / "t.tsv.gz").write_bytes(gzip.compress(b"a\tb\n1\t2\n"))
+    (tmp_path / "other.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = R.read_delimited(spark, f"file://{tmp_path}/big.CSV")
+        assert df.rdd.getNumPartitions() > 4
+        assert df.where(f"{ROW} <> cast(id as long)").count() == 0 and df.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(R.TooLarge):
+        R.read_delimited(spark, f"file://{tmp_path}/big.CSV", most_rows=39_999)
+    with pytest.raises(R.TooLarge):
+        R.read_delimited(spark, f"file://{tmp_path}/big.CSV", most_columns=1)
+    assert R.read_delimited(spark, f"file://{tmp_path}/big.CSV", most_rows=40_000, most_columns=2).count() == 40_000
+    found = R.read_samples(spark, f"file://{tmp_path}")
+    assert sorted(found) == ["big", "t"] and found["t"].first()["b"] == "2"
+
+
+def test_numbered_after_a_shuffle(spark):
+    df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1000).orderBy("k")
+    got = {r["k"]: r[ROW] for r in as_strings(df).select(F.col("k").cast("long").alias("k"), ROW).collect()}
+    assert got == {k: k for k in range(1000)}
