@@ -13,6 +13,9 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); only where none is set, a temporary one, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -30,7 +33,29 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    _WRITTEN.add(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``table`` wrote, once all that is made of them is written too. Others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table written by ``table`` that is still there: for callers who are done with all results."""
+    for path in sorted(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.discard(path)
 
 
 BATCH = 4 << 20

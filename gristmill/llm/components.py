@@ -1,30 +1,53 @@
-"""Connected components of an edge table, by least labels and pointer jumping."""
+"""Connected components of an edge table, by contraction.
+
+In each round every node points to its least neighbour, or itself if it is less; pointers are followed until they
+settle, and edges are drawn anew between the nodes that are pointed to. Edges inside a component vanish and
+parallel ones become one, so the work shrinks from round to round: where labels are in random order, as hashes
+are, by a constant factor at least. Groupings combine before they shuffle, and a hub's edges meet one row for
+the hub in joins that Spark may split, so no node's edges need fit into one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-
-
-def components(edges: DataFrame, a: str = "x", b: str = "y", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges; root is the least node reachable. Each round's labels are written out.
-
-    Labels spread to neighbours and then jump to their label's label, so paths shorten by halves.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    # With an edge to itself a node's own label is among those of its neighbours.
-    both = table(both.unionByName(both.select("u", F.col("u").alias("v")).distinct()), "cc-edges")
-    labels = table(both.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), "cc-labels")
-    for _ in range(rounds):
-        met = both.join(labels, both["v"] == labels["node"])
-        spread = met.groupBy("u").agg(F.min("root").alias("new"), F.min(F.when(F.col("u") == F.col("v"), F.col("root"))).alias("old"))
-        over = labels.select(F.col("node").alias("at"), F.col("root").alias("there"))
-        jumped = spread.join(over, spread["new"] == over["at"]).select(F.col("u").alias("node"), F.least("new", "there").alias("root"), (F.least("new", "there") < F.col("old")).alias("moved"))
-        jumped = table(jumped, "cc-labels")
-        labels = jumped.select("node", "root")
-        if not jumped.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+from .common import discard, table
+
+
+def _settled(up: DataFrame) -> DataFrame:
+    """Follow the pointers (node, root) until every one leads to a node that points to itself."""
+    while True:
+        over = up.select(F.col("node").alias("at"), F.col("root").alias("there"))
+        jumped = table(up.join(over, up["root"] == over["at"]).select("node", F.col("there").alias("root"), (F.col("there") != F.col("root")).alias("moved")), "cc-jump")
+        moved = jumped.where("moved").limit(1).count()
+        discard(up)
+        up = jumped
+        if not moved:
+            return up
+
+
+def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
+    """(node, root) for every node of the edges that has another at its end; root is the least node reachable."""
+    ends = lambda u, v: (F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    live = table(edges.where(F.col(a) != F.col(b)).select(*ends(a, b)).distinct(), "cc-edges")
+    rounds = []
+    while live.limit(1).count():
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = _settled(table(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("root")).withColumnRenamed("u", "node"), "cc-up"))
+        rounds.append(up)
+        to = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))  # noqa: B023, E731
+        drawn = live.join(to("u"), "u").join(to("v"), "v").where("ur <> vr").select(*ends("ur", "vr")).distinct()
+        last, live = live, table(drawn, "cc-edges")
+        discard(last)
+    discard(live)
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], live.toDF("node", "root").schema)
+    out = rounds.pop()
+    while rounds:
+        up = rounds.pop()
+        later = out.select(F.col("node").alias("at"), F.col("root").alias("there"))
+        whole = table(up.join(later, up["root"] == later["at"], "left").select("node", F.coalesce("there", "root").alias("root")), "cc-whole")
+        discard(up, out)
+        out = whole
+    return out.select("node", "root")

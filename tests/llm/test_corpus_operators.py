@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import ann, jaccard_join, mixing, suffix_dedup, warc
-from gristmill.llm.common import bounded_batches, shared_dir
+from gristmill.llm.common import bounded_batches, shared_dir, table
 from gristmill.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -251,3 +251,64 @@ def test_shared_folder_and_batches(spark):
     assert shared_dir(spark).startswith("file://")
     bounded_batches(spark.range(1))
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304b"
+
+
+def test_jaccard_word_hashes_and_long_texts(spark, monkeypatch):
+    """Words of regular patterns get different hashes; texts longer than a buffer give the set that whole ones do."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(20, one), (21, two)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_components(docs).collect()} == {(20, 20), (21, 21)}
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 400))) for _ in range(30)] + ["x" * 900, "é " * 300, "\t" * 500]
+    whole = [s.tolist() for s in jaccard_join.shingle_sets(texts)]
+    for size in (64, 300):
+        monkeypatch.setattr(jaccard_join, "BUFFER", size)
+        assert [s.tolist() for s in jaccard_join.shingle_sets(texts)] == whole
+
+
+def test_jaccard_costly_lists(spark, monkeypatch):
+    """Passages shared by many documents make all their lists costly; every link is found all the same."""
+    rng = random.Random(32)
+    passages = [[f"p{k}_{j}" for j in range(30)] for k in range(3)]
+    rows = []
+    for k in range(220):
+        own = [f"o{k}_{j}" for j in range(rng.choice([0, 2, 4, 8, 15, 40]))]
+        kept = [w for w in rng.choice(passages)[: rng.randint(18, 30)] if rng.random() > 0.02]
+        rows.append((k, " ".join(own + kept if rng.random() < 0.5 else kept + own)))
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for short in (1, 3):
+        monkeypatch.setattr(jaccard_join, "SHORT", short)
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs).collect()} == want
+
+
+def test_near_dedup_rows(spark):
+    """One id with two texts, null ids, repeats, clashing names, an empty table: no text is lost, no copy stays."""
+    base, other = " ".join(f"b{k}" for k in range(60)), " ".join(f"c{k}" for k in range(60))
+    near = base + " tail"
+    rows = [(1, base, 7), (5, base, 7), (5, other, 7), (None, near, 7), (None, "a text of its own under no id", 7), (9, base, 1), (9, base, 2), (3, None, 0), (3, None, 0), (4, "", 0), (None, other + " x", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").withColumns({"stays": F.lit("s"), "root": F.lit("r"), "copies": F.lit(0)})
+    got = jaccard_join.near_dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, base), (5, other), (None, "a text of its own under no id"), (3, None), (3, None), (4, "")], key=str)
+    again = jaccard_join.near_dedup(spark.createDataFrame([(9, base, 1), (9, base, 2)], "doc_id long, text string, n int"))
+    assert again.count() == 1
+    assert jaccard_join.near_dedup(docs.limit(0)).collect() == []
+
+
+def test_pipeline_edges(spark):
+    """Empty tables, nulls in every column, long texts, one id with two texts, ties and a clashing extra column pass each stage."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    train = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    long = " ".join(f"word{k % 5000} and the house" for k in range(40_000))
+    odd = [(None, None, None, None, None), (1, long, "en", "src0", None), (2, long + " end", "en", None, 1), (2, "a quite different little text about the weather today", "en", "src0", 3), (2, "a quite different little text about the weather today", "en", "src0", 3)]
+    docs = train.unionByName(spark.createDataFrame(odd, schema)).withColumns({"key": F.lit(1), "copies": F.lit("x"), "doc": F.lit(2.0)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = table(stage(spark, docs, SF), "edges")
+        assert docs.columns == train.columns + ["key", "copies", "doc"]
+    left = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+    assert all(t for _, t in left) and (2, long + " end") not in left
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
