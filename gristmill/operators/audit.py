@@ -206,7 +206,7 @@ def relation_findings(t: Table) -> dict[str, Callable[[], list[Finding]]]:
     def c13():
         out = []
         for r in R.arithmetic(clean).collect():
-            text = f"{r['target']} = {r['a']} {R._OPS[r['operation']][1]} {r['b']}"
+            text = f"{r['target']} = {r['a']} {SIGNS[r['operation']]} {r['b']}"
             gaps = []
             for col, op, x, y in R.rearranged(r["target"], r["operation"], r["a"], r["b"]):
                 rows = R.computable(clean, col, op, x, y).select(ROW)
@@ -296,6 +296,7 @@ def audit(t: Table, label: str | None = None, split: str | None = None, checks:
     return Audit(t, rank(found), skipped, accuracy[0] if accuracy else None)
 
 
+SIGNS = {"product": "x", "sum": "+", "difference": "-"}
 # The order in which safe fixes are applied; computed fills go both before and after lookups.
 ORDER = [
     "strip_invisible", "strip_markup", "trim", "blank_values", "reformat_number", "reformat_date", "normalize_boolean", "normalize_values",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gristmill import config
 from gristmill.functions import scalars as S
 
-from .tables import ROW, Table, is_missing, is_sentinel, present_number
+from .quantiles import quantiles
+from .tables import ROW, Table, is_missing, is_sentinel
 
 
 def _sum_if(condition: Column) -> Column:
@@ -19,7 +20,7 @@ def _sum_if(condition: Column) -> Column:
 
 def _typed(t: Table) -> DataFrame:
     """The dictionary with each column's type. The profile has one row for each column."""
-    return t.values.join(F.broadcast(t.profile.select("col", "inferred_type", "n_present")), "col")
+    return t.values.join(F.broadcast(t.types.select("col", "inferred_type", "n_present")), "col")
 
 
 def missingness(t: Table) -> DataFrame:
@@ -72,11 +73,12 @@ def variants(t: Table) -> DataFrame:
     ``safe`` to merge or ``contested``.
     """
     present = _typed(t).where("not missing").where(F.col("inferred_type").isin("categorical", "boolean"))
-    truth = F.sum(F.when(S.parse_boolean(F.col("raw")).isNotNull(), F.col("n")).otherwise(0)).over(Window.partitionBy("col"))
+    # Sums over a column combine before they shuffle and come back as one row for each column; windows here run over one norm.
+    truth = present.groupBy("col").agg(_sum_if(S.parse_boolean(F.col("raw")).isNotNull()).alias("truth"))
     same = Window.partitionBy("col", "norm")
     ranked = same.orderBy(F.desc("n"), "raw")
     found = (
-        present.withColumn("truth", truth).where(F.col("truth") / F.col("n_present") < config.BOOLEAN_SHARE)
+        present.join(F.broadcast(truth), "col").where(F.col("truth") / F.col("n_present") < config.BOOLEAN_SHARE)
         .withColumns({"spellings": F.count(F.lit(1)).over(same), "place": F.row_number().over(ranked), "canonical": F.first("raw").over(ranked), "top": F.first("n").over(ranked)})
         .where("spellings > 1")
     )
@@ -94,9 +96,11 @@ def rare_values(t: Table) -> DataFrame:
 def fences(t: Table) -> DataFrame:
     """One row for each numeric column: quartiles, median, MAD and the bounds beyond which a value is an outlier."""
     numbers = _typed(t).where("not missing and num is not null and inferred_type = 'numeric'")
-    middle = numbers.groupBy("col").agg(F.sum("n").alias("support"), F.expr("percentile(num, array(0.25D, 0.5D, 0.75D), n)").alias("q"))
+    kinds = {c: k["n_raw"] for c, k in t.kinds.items()}
+    middle = quantiles(numbers, [0.25, 0.5, 0.75], kinds).withColumnRenamed("total", "support")
     # The second aggregation needs the first one's medians: at most one row for each column.
-    spread = numbers.join(F.broadcast(middle), "col").groupBy("col").agg(F.expr("percentile(abs(num - q[1]), 0.5D, n)").alias("mad"))
+    far = numbers.join(F.broadcast(middle.select("col", "q")), "col").select("col", F.abs(F.col("num") - F.col("q")[1]).alias("num"), "n")
+    spread = quantiles(far, [0.5], kinds).select("col", F.col("q")[0].alias("mad"))
     told = middle.join(spread, "col").select("col", "support", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mad").where(F.col("support") >= 10)
     iqr, reach = F.col("q3") - F.col("q1"), config.ROBUST_Z * config.MAD_TO_SIGMA * F.col("mad")
     return told.withColumns(
@@ -146,7 +150,7 @@ def pearson(t: Table, label: str | None = None) -> DataFrame:
     spark = t.df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "a string, b string, r double")
-    numbers = t.df.select(*[present_number(F.col(f"`{c}`")).alias(c) for c in names])
+    numbers = t.numbers(names)
     one = numbers.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(rows).alias("x")).select("x.*").where((F.col("r") > config.CORRELATED) & ~F.isnan("r"))
@@ -170,7 +174,7 @@ def cramers_v(t: Table, label: str | None = None) -> DataFrame:
 def sentinels(t: Table) -> DataFrame:
     """C11: words that mean "no value": (col, n_sentinel, auto)."""
     told = t.values.groupBy("col").agg(_sum_if(F.col("sentinel")).alias("n_sentinel"), F.max_by("sentinel", F.struct("n", "raw")).alias("modal_is_sentinel"))
-    told = told.join(F.broadcast(t.profile.select("col", "inferred_type", "n_rows")), "col")
+    told = told.join(F.broadcast(t.types.select("col", "inferred_type", "n_rows")), "col")
     share = F.col("n_sentinel") / F.col("n_rows")
     category = F.col("inferred_type").isin("categorical", "boolean", "text", "constant")
     auto = (share <= config.SENTINEL_AUTO) & ~(category & F.col("modal_is_sentinel"))
@@ -200,12 +204,9 @@ def rows_where(t: Table, test) -> DataFrame:
 def entities(t: Table) -> DataFrame:
     """Names that differ by punctuation or by words for the legal form. (col, key, canonical, raw, n)."""
     named = _typed(t).where("not missing").where(~F.col("inferred_type").isin("numeric", "datetime", "constant", "boolean"))
-    by = Window.partitionBy("col")
-    fits = (
-        named.withColumns({"present": F.sum("n").over(by), "distinct": F.count(F.lit(1)).over(by), "lettered": F.avg(S.has_letter(F.col("raw")).cast("double")).over(by), "words": F.avg(S.n_words(F.col("raw"))).over(by)})
-        .where((F.col("present") >= config.ENTITY_LEAST) & F.col("distinct").between(2, config.ENTITY_MOST) & (F.col("lettered") > 0.9) & (F.col("words") >= 1.5))
-        .withColumn("key", S.entity_key(F.col("norm"))).where("length(key) >= 3")
-    )
+    column = named.groupBy("col").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"), F.avg(S.has_letter(F.col("raw")).cast("double")).alias("lettered"), F.avg(S.n_words(F.col("raw"))).alias("words"))
+    column = column.where((F.col("present") >= config.ENTITY_LEAST) & F.col("distinct").between(2, config.ENTITY_MOST) & (F.col("lettered") > 0.9) & (F.col("words") >= 1.5))
+    fits = named.join(F.broadcast(column.select("col")), "col").withColumn("key", S.entity_key(F.col("norm"))).where("length(key) >= 3")
     group = Window.partitionBy("col", "key")
     best = group.orderBy(F.desc("n"), F.desc(F.length("raw")), "raw")
     return fits.withColumns({"norms": F.size(F.collect_set("norm").over(group)), "canonical": F.first("raw").over(best)}).where("norms > 1").select("col", "key", "canonical", "raw", "n")
@@ -229,8 +230,8 @@ def date_formats(t: Table) -> DataFrame:
     """Columns of dates that are not all ISO: (col, n_styles, dayfirst, n_changing, auto, severity)."""
     values = _typed(t).where("not missing and not sentinel").where(~F.col("inferred_type").isin("numeric", "constant", "id_like"))
     told = values.withColumn("style", S.date_style(F.col("raw")))
-    by = Window.partitionBy("col")
-    told = told.withColumn("dayfirst", F.max(S.leads_with_day(F.col("raw")).cast("int")).over(by) == 1)
+    first = told.groupBy("col").agg((F.max(S.leads_with_day(F.col("raw")).cast("int")) == 1).alias("dayfirst"))
+    told = told.join(F.broadcast(first), "col")
     changed = S.parse_date(F.col("raw"), F.col("dayfirst"))
     told = told.groupBy("col").agg(
         F.sum("n").alias("n_values"), _sum_if(F.col("style").isNotNull()).alias("n_styled"), F.count_distinct("style").alias("n_styles"), F.bool_or(F.col("style") == "iso").alias("any_iso"),

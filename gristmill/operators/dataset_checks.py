@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill import config
 from gristmill.functions import scalars as S
 
+from .quantiles import quantiles
 from .tables import ROW, Table, is_missing, present_number
 
 
@@ -17,18 +18,21 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def row_key(columns: list[str]) -> Column:
+    """SHA-256 of the cells, each with its length before it: whole rows need not travel to be compared."""
+    return F.sha2(F.concat_ws("\u0001", *[F.concat(F.length(_c(c)).cast("string"), F.lit(":"), _c(c)) for c in columns]), 256)
+
+
 def duplicate_groups(t: Table, columns: list[str] | None = None) -> DataFrame:
-    """Groups of equal rows, with their size and first row. Counting partially first, a hot group is one row a task."""
-    names = columns or t.columns
-    return t.df.groupBy(*[_c(c) for c in names]).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first")).where("n > 1")
+    """Groups of equal rows by their key, with their size and first row. Counting partially first, a hot group is one row a task."""
+    keyed = t.df.select(ROW, row_key(columns or t.columns).alias("key"))
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first")).where("n > 1")
 
 
 def duplicate_rows(t: Table, columns: list[str] | None = None) -> DataFrame:
     """Row ids of all members of such groups."""
-    names = columns or t.columns
-    groups = duplicate_groups(t, names).select(*[_c(c).alias(f"_g{k}") for k, c in enumerate(names)])
-    same = reduce(lambda a, b: a & b, [_c(c) == F.col(f"_g{k}") for k, c in enumerate(names)])
-    return t.df.join(groups, same, "left_semi").select(ROW)
+    keyed = t.df.select(ROW, row_key(columns or t.columns).alias("key"))
+    return keyed.join(duplicate_groups(t, columns).select("key"), "key", "left_semi").select(ROW)
 
 
 def duplicate_summary(t: Table) -> DataFrame:
@@ -40,21 +44,24 @@ def duplicate_summary(t: Table) -> DataFrame:
 
 
 def _signatures(t: Table, columns: list[str]) -> DataFrame:
-    """(row, left_out, sig, sig2, raw, norm): each row once for each column left out; the signature covers the others.
+    """(row, k, sig, sig2): each row once for each column k left out; the signature covers the others.
 
-    A row's hash is the XOR of its cells' hashes, salted with the column, so leaving one out is one more XOR.
+    A row's hash is the XOR of its cells' hashes, salted with the column, so leaving one out is one more XOR. Cells are
+    brought to their normal form once; only hashes travel.
     """
-    norm = {c: S.normalise_latin(_c(c)) for c in columns}
-    cell = lambda k, c, seed: F.xxhash64(F.lit(seed), F.lit(k), norm[c])
-    whole = {seed: reduce(lambda a, b: a.bitwiseXOR(b), [cell(k, c, seed) for k, c in enumerate(columns)]) for seed in (1, 2)}
-    out = F.array(*[F.struct(F.lit(c).alias("left_out"), whole[1].bitwiseXOR(cell(k, c, 1)).alias("sig"), whole[2].bitwiseXOR(cell(k, c, 2)).alias("sig2"), _c(c).alias("raw"), norm[c].alias("norm")) for k, c in enumerate(columns)])
-    return t.df.select(F.col(ROW).alias("row"), F.explode(out).alias("x")).select("row", "x.*")
+    cells = t.df.select(F.col(ROW).alias("row"), F.array(*[S.normalise_latin(_c(c)) for c in columns]).alias("norms"))
+    salted = lambda seed: F.transform("norms", lambda c, k: F.xxhash64(F.lit(seed), k, c)).alias(f"h{seed}")
+    hashed = cells.select("row", salted(1), salted(2))
+    whole = hashed.select("row", "h2", *[F.aggregate(f"h{seed}", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)).alias(f"all{seed}") for seed in (1, 2)], F.posexplode("h1").alias("k", "one"))
+    return whole.select("row", "k", F.col("all1").bitwiseXOR(F.col("one")).alias("sig"), F.col("all2").bitwiseXOR(F.expr("h2[k]")).alias("sig2"))
 
 
 def scales(t: Table) -> DataFrame:
     """(left_out, scale): interquartile range of numeric columns, or the standard deviation, or 1."""
-    numbers = t.values.where("not missing and num is not null").join(F.broadcast(t.profile.where("inferred_type = 'numeric'").select("col")), "col")
-    told = numbers.groupBy("col").agg(F.expr("percentile(num, array(0.25D, 0.75D), n)").alias("q"), F.sum("n").alias("k"), F.sum(F.col("num") * F.col("n")).alias("s"), F.sum(F.col("num") * F.col("num") * F.col("n")).alias("ss"))
+    numbers = t.values.where("not missing and num is not null").join(F.broadcast(t.types.where("inferred_type = 'numeric'").select("col")), "col")
+    spread = quantiles(numbers, [0.25, 0.75], {c: k["n_raw"] for c, k in t.kinds.items()}).select("col", "q")
+    sums = numbers.groupBy("col").agg(F.sum("n").alias("k"), F.sum(F.col("num") * F.col("n")).alias("s"), F.sum(F.col("num") * F.col("num") * F.col("n")).alias("ss"))
+    told = spread.join(sums, "col")
     std = F.sqrt(F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("k")) / F.greatest(F.col("k") - 1, F.lit(1)), F.lit(0.0)))
     iqr = F.col("q")[1] - F.col("q")[0]
     return told.select(F.col("col").alias("left_out"), F.when(iqr > 0, iqr).when(std > 0, std).otherwise(1.0).alias("scale"))
@@ -71,12 +78,16 @@ def near_pairs(t: Table, split: str | None = None) -> DataFrame:
     if len(columns) < 2:
         return spark.createDataFrame([], "a long, b long, differs string")
     signed = _signatures(t, columns)
-    key = ["left_out", "sig", "sig2"]
-    groups = signed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, config.NEAR_GROUP)).drop("n")
+    key = ["k", "sig", "sig2"]
+    # Groups are counted on hashes alone; only rows of the few that are compared are met again, and only their cells read.
+    groups = signed.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, config.NEAR_GROUP)).drop("size")
     members = signed.join(groups, key)
-    right = members.select(*key, F.col("row").alias("b"), F.col("raw").alias("raw_b"), F.col("norm").alias("norm_b"))
-    pairs = members.withColumnRenamed("row", "a").join(right, key).where("a < b").drop("sig", "sig2")
-    kinds = t.profile.select(F.col("col").alias("left_out"), "inferred_type")
+    met = members.withColumnRenamed("row", "a").join(members.withColumnRenamed("row", "b"), key).where("a < b").select("k", "a", "b")
+    cells = t.df.select(F.col(ROW).alias("row"), F.array(*[_c(c) for c in columns]).alias("cells"))
+    side = lambda df, c, raw: df.join(cells.withColumnRenamed("row", c), c).withColumn(raw, F.expr("cells[k]")).drop("cells")
+    pairs = side(side(met, "a", "raw"), "b", "raw_b")
+    pairs = pairs.withColumns({"left_out": F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1), "norm": S.normalise_latin(F.col("raw")), "norm_b": S.normalise_latin(F.col("raw_b"))})
+    kinds = t.types.select(F.col("col").alias("left_out"), "inferred_type")
     pairs = pairs.join(F.broadcast(kinds), "left_out").join(F.broadcast(scales(t)), "left_out", "left")
     gap = F.abs(S.to_number(F.col("raw")) - S.to_number(F.col("raw_b")))
     close = F.when(F.col("inferred_type") == "numeric", F.coalesce(gap <= config.NEAR_GAP * F.coalesce("scale", F.lit(1.0)), F.lit(False))).otherwise(F.col("norm") == F.col("norm_b"))
@@ -121,8 +132,7 @@ def near_texts(t: Table, column: str) -> DataFrame:
     threshold are multiplied out, and none is missed.
     """
     others = [c for c in t.columns if c != column]
-    key = F.sha2(F.concat_ws("\u0001", *[F.concat(F.length(_c(c)).cast("string"), F.lit(":"), _c(c)) for c in t.columns]), 256)
-    keyed = t.df.select(F.col(ROW).alias("member"), key.alias("key"))
+    keyed = t.df.select(F.col(ROW).alias("member"), row_key(t.columns).alias("key"))
     groups = keyed.groupBy("key").agg(F.min("member").alias("row"), F.count(F.lit(1)).alias("n"))
     side = F.array(*[S.normalise_latin(_c(c)) for c in others]).cast("array<string>")
     texts = t.df.withColumnRenamed(ROW, "row").join(groups.drop("key"), "row").select("row", "n", side.alias("side"), F.sort_array(terms(_c(column))).alias("terms"))
@@ -172,8 +182,7 @@ def class_imbalance(t: Table, label: str) -> DataFrame:
 def exact_overlap(t: Table, split: str) -> DataFrame:
     """Ids of rows whose features stand on more than one side of the split."""
     names = [c for c in t.columns if c != split]
-    key = F.sha2(F.concat_ws("\u0001", *[F.concat(F.length(_c(c)).cast("string"), F.lit(":"), _c(c)) for c in names]), 256)
-    keyed = t.df.select(ROW, key.alias("key"), _c(split).alias("side"))
+    keyed = t.df.select(ROW, row_key(names).alias("key"), _c(split).alias("side"))
     both = keyed.groupBy("key").agg((F.min("side") < F.max("side")).alias("both")).where("both").select("key")
     return keyed.join(both, "key", "left_semi").select(ROW)
 

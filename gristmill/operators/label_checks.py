@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gristmill import config
 from gristmill.functions import scalars as S
 
-from .tables import ROW, Table, is_missing, present_number
+from .tables import ROW, Table, is_missing, numbered, present_number
 
 BINS = 64
 RANGES = 1024  # of the sorted values of a column with more than 4 * BINS of them
@@ -77,12 +77,12 @@ def tree_accuracy(counts: np.ndarray, depth: int = 3) -> float:
 def _ranged(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(col, fold, bin, y, n): values in sorted order, cut by exact counts into ranges of one ``RANGES``-th of the rows.
 
-    A range holds more only if one value does. Ranks come from ``zipWithIndex`` and rows before a value from sums of
-    blocks of ranks, so no task sees all values.
+    A range holds more only if one value does. Ranks come from the sizes of sorted partitions and rows before a value
+    from sums of blocks of ranks, so no task sees all values.
     """
     counts = rows.select("fold", "y", *[_c(c) for c in columns]).unpivot(["fold", "y"], [_c(c) for c in columns], "col", "raw").groupBy("col", "raw", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
     values = counts.groupBy("col", "raw").agg(F.sum("n").alias("n")).orderBy("col", "raw")
-    ranked = rows.sparkSession.createDataFrame(values.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), "col string, raw string, n long, rank long")
+    ranked = numbered(values).withColumnRenamed(ROW, "rank")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK))
     blocks = ranked.groupBy("col", "block").agg(F.sum("n").alias("size"))
     by_col = Window.partitionBy("col")
@@ -92,19 +92,10 @@ def _ranged(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counts.join(at, ["col", "raw"]).groupBy("col", "fold", "bin", "y").agg(F.sum("n").alias("n"))
 
 
-def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame, str | None]:
-    """(col, accuracy, majority) of columns that alone predict the label.
-
-    Rows are reduced to counts by (column, fold, bin, class) in one aggregation; trees grow on the counts.
-    """
-    spark = t.df.sparkSession
-    schema = "col string, accuracy double, majority double"
-    rows, why, _ = labelled(t, label, False)
-    if rows is None:
-        return spark.createDataFrame([], schema), why
-    usable = [c for c in t.columns if c not in (label, split) and t.kinds[c]["inferred_type"] not in ("constant", "text")]
-    ordered = [c for c in usable if t.kinds[c]["inferred_type"] in ("numeric", "datetime")]
-    number = {c: present_number(_c(c)) if t.kinds[c]["inferred_type"] == "numeric" else F.unix_micros(S.to_timestamp(_c(c)).cast("timestamp")).cast("double") for c in ordered}
+def leak_counts(t: Table, label: str, usable: list[str], number: dict[str, Column], rows: DataFrame | None = None) -> DataFrame:
+    """(col, fold, bin, y, n): rows of each class in each range of a column's values. ``number`` reads the columns that are cut at quantiles."""
+    rows = labelled(t, label, False)[0] if rows is None else rows
+    ordered = list(number)
     cuts = rows.agg(*[F.percentile_approx(number[c], [k / BINS for k in range(1, BINS)], 10_000).alias(f"q{k}") for k, c in enumerate(ordered)]).first() if ordered else {}
     few = {r["col"]: sorted(r["raws"]) for r in t.values.where(F.col("col").isin([c for c in usable if c not in ordered and t.kinds[c]["n_raw"] <= 4 * BINS] or [""])).groupBy("col").agg(F.collect_list("raw").alias("raws")).collect()}
     bins, many = [], []
@@ -113,7 +104,7 @@ def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame,
             bounds = sorted(set(cuts[f"q{ordered.index(c)}"] or []))
             middle = bounds[len(bounds) // 2] if bounds else 0.0
             x = F.coalesce(number[c], F.lit(middle))
-            at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), lambda b: b < x))
+            at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), lambda b: b < x))  # noqa: B023
         elif c in few:
             at = F.array_position(F.array(*[F.lit(v) for v in few[c]]), _c(c)).cast("int")
         else:
@@ -122,8 +113,23 @@ def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame,
         bins.append(F.struct(F.lit(c).alias("col"), at.cast("int").alias("bin")))
     told = [rows.select("fold", "y", F.explode(F.array(*bins)).alias("x")).groupBy("x.col", "fold", "x.bin", "y").agg(F.count(F.lit(1)).alias("n"))] if bins else []
     told += [_ranged(rows, many)] if many else []
-    if told:
-        counts = reduce(DataFrame.unionByName, told).toPandas()
+    return reduce(DataFrame.unionByName, told) if told else t.df.sparkSession.createDataFrame([], "col string, fold int, bin int, y string, n long")
+
+
+def leakage(t: Table, label: str, split: str | None = None) -> tuple[DataFrame, str | None]:
+    """(col, accuracy, majority) of columns that alone predict the label.
+
+    Rows are reduced to counts by (column, fold, bin, class) in one aggregation; trees grow on the counts.
+    """
+    spark = t.df.sparkSession
+    schema = "col string, accuracy double, majority double"
+    rows, why, _ = labelled(t, label, False)
+    if rows is None:
+        return spark.createDataFrame([], schema), why
+    usable = [c for c in t.columns if c not in (label, split) and t.kinds[c]["inferred_type"] not in ("constant", "text")]
+    ordered = [c for c in usable if t.kinds[c]["inferred_type"] in ("numeric", "datetime")]
+    number = {c: present_number(_c(c)) if t.kinds[c]["inferred_type"] == "numeric" else F.unix_micros(S.to_timestamp(_c(c)).cast("timestamp")).cast("double") for c in ordered}
+    counts = leak_counts(t, label, usable, number, rows).toPandas()  # rows by column, fold, range and class: bounded by ranges and classes
     classes = sorted(r["y"] for r in rows.select("y").distinct().collect())
     sizes = rows.groupBy("y").count().agg(F.max("count") / F.sum("count")).first()[0]
     found = []

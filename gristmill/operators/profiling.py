@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill import config
 from gristmill.functions import scalars as S
 
+from .quantiles import quantiles
 from .tables import Table
 
 
@@ -39,7 +40,6 @@ def statistics(values: DataFrame) -> DataFrame:
         F.min(num).alias("min"),
         F.max(num).alias("max"),
         (F.sum(num * n) / _sum_if(num.isNotNull())).alias("mean"),
-        F.expr("percentile(CASE WHEN NOT missing THEN num END, 0.5D, n)").alias("median"),
     )
 
 
@@ -61,7 +61,10 @@ def inferred_type() -> Column:
 
 
 def profile(t: Table) -> DataFrame:
-    told = statistics(t.values).withColumns(
+    numbers = t.values.where("not missing and num is not null")
+    medians = quantiles(numbers, [0.5]).select(F.col("col").alias("_col"), F.col("q")[0].alias("median"))
+    counted = statistics(t.values).join(F.broadcast(medians), F.col("col") == F.col("_col"), "left").drop("_col")  # one row for each column
+    told = counted.withColumns(
         {
             "inferred_type": inferred_type(),
             "missing_fraction": F.col("n_missing") / F.col("n_rows"),
@@ -75,7 +78,7 @@ def profile(t: Table) -> DataFrame:
 def top_values(t: Table, k: int = 10) -> DataFrame:
     """(col, raw, n, place) of the most frequent present values of columns with few kinds of values."""
     place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "raw"))
-    told = t.values.where("not missing").join(F.broadcast(t.profile.select("col", "inferred_type")), "col").where(F.col("inferred_type").isin("categorical", "boolean", "constant"))
+    told = t.values.where("not missing").join(F.broadcast(t.types.select("col", "inferred_type")), "col").where(F.col("inferred_type").isin("categorical", "boolean", "constant"))
     return told.withColumn("place", place).where(F.col("place") <= k).select("col", "raw", "n", "place")
 
 

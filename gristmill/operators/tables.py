@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,9 @@ def numbered(df: DataFrame) -> DataFrame:
     Rows are counted by partition, and each partition begins where those before it end. Both passes need the same
     partitions: scans give them; what was shuffled, and may be dealt anew, is written to the checkpoint folder first.
     """
-    spark = df.sparkSession
     placed = df.withColumn(ROW, F.monotonically_increasing_id())
     if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-        placed = placed.checkpoint()
+        placed = settled(placed)
     part = F.shiftright(ROW, 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # One row for each partition.
@@ -38,6 +36,14 @@ def numbered(df: DataFrame) -> DataFrame:
     return met.withColumn(ROW, F.col("_start") + F.col(ROW).bitwiseAND((1 << 33) - 1)).drop("_part", "_start")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: later passes read the same rows in the same partitions, though executors are lost."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
+
+
 def checkpoint_dir(spark) -> str:
     """The folder all executors share; a temporary one only where none is set and one machine runs all, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -67,9 +73,17 @@ class Table:
 
     @cached_property
     def values(self) -> DataFrame:
-        """(col, raw, n) and what the checks ask of a value. Counting comes first, so functions see each value once."""
+        """(col, raw, n) and what the checks ask of a value. Counting comes first, so functions see each value once.
+
+        It is made once and kept on the executors for all checks, until ``release``.
+        """
         counted = self.cells.groupBy("col", "raw").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-        return described(counted)
+        return described(counted).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        """Drop what is kept for the checks; plans made before work on, from the rows again."""
+        if "values" in self.__dict__:
+            self.values.unpersist()
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -82,6 +96,12 @@ class Table:
         """The profile by column on the driver: one small record for each column."""
         return {r["col"]: r.asDict() for r in self.profile.collect()}
 
+    @cached_property
+    def types(self) -> DataFrame:
+        """(col, inferred_type, n_present, n_rows): the profile as a small local table, worked out once."""
+        rows = [(c, k["inferred_type"], k["n_present"], k["n_rows"]) for c, k in self.kinds.items()]
+        return self.df.sparkSession.createDataFrame(rows, "col string, inferred_type string, n_present long, n_rows long")
+
     @cached_property
     def n_rows(self) -> int:
         return self.df.count()
@@ -89,6 +109,10 @@ class Table:
     def of_kind(self, *kinds: str) -> list[str]:
         return [c for c in self.columns if self.kinds[c]["inferred_type"] in kinds]
 
+    def numbers(self, names: list[str]) -> DataFrame:
+        """(_row_id, the columns as doubles): null where a cell is missing or no number."""
+        return self.df.select(ROW, *[present_number(F.col(f"`{c}`")).alias(c) for c in names])
+
     def without_sentinels(self) -> Table:
         """The same rows with words that mean "no value" blanked."""
         blank = {c: F.when(is_sentinel(F.col(f"`{c}`")), "").otherwise(F.col(f"`{c}`")) for c in self.columns}
@@ -112,11 +136,11 @@ def described(counted: DataFrame) -> DataFrame:
 
 def is_missing(v: Column) -> Column:
     """The row-level twin of ``missing``, without Python."""
-    return S.normalise_latin(v).isin(config.MISSING_WORDS)
+    return S.normalise_latin(v).isin(S.spellings(config.MISSING_WORDS))
 
 
 def is_sentinel(v: Column) -> Column:
-    return S.normalise_latin(v).isin(config.SENTINEL_WORDS)
+    return S.normalise_latin(v).isin(S.spellings(config.SENTINEL_WORDS))
 
 
 def present_number(v: Column) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill import config
 from gristmill.operators.audit import Audit
 from gristmill.operators.edits import Edit, describe
-from gristmill.operators.tables import ROW, Table
+from gristmill.operators.tables import ROW, Table, numbered
 
 
 def csv_cell(v: Column) -> Column:
@@ -28,14 +28,48 @@ def header_line(df: DataFrame) -> str:
     return ",".join(quote(c) for c in df.columns if c != ROW)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """Lines in row order, with a header. ``single`` makes one file; else every part is sorted and has none."""
-    lines = csv_lines(df)
+MANIFEST = "_manifest.json"
+
+
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """Lines in row order. Parts hold ranges of rows, in order of their names, without a header; ``_manifest.json`` has the header and the parts.
+
+    ``single`` makes one file with a header instead, through one task: for small tables.
+    """
+    spark, lines = df.sparkSession, csv_lines(df)
     if single:
-        head = df.sparkSession.createDataFrame([(-1, header_line(df))], f"{ROW} long, value string")
+        head = spark.createDataFrame([(-1, header_line(df))], f"{ROW} long, value string")
         head.unionByName(lines).orderBy(ROW).coalesce(1).select("value").write.text(path)
-    else:
-        lines.sortWithinPartitions(ROW).select("value").write.text(path)
+        return
+    lines.orderBy(ROW).select("value").write.text(path)
+    files, where = _files(spark, path)
+    parts = sorted(p.getPath().getName() for p in files.listStatus(where) if p.getPath().getName().startswith("part-"))
+    out = files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}"), True)
+    try:
+        out.write(bytearray(json.dumps({"columns": [c for c in df.columns if c != ROW], "header": header_line(df), "parts": parts}).encode()))
+    finally:
+        out.close()
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_csv`` wrote in parts: (_row_id, columns), rows numbered in order again."""
+    files, _ = _files(spark, path)
+    source = files.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}"))
+    try:
+        told = json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)))
+    finally:
+        source.close()
+    names = told["columns"]
+    raw = spark.read.schema(", ".join(f"c{k} string" for k in range(len(names)))).options(quote='"', escape='"', multiLine=True).csv([f"{path}/{p}" for p in told["parts"]])
+    # Scans deal out files by size: the order is that of the parts' names and of lines within them.
+    placed = raw.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"), *raw.columns)
+    rows = numbered(placed.orderBy("_file", "_at"))
+    return rows.select(ROW, *[F.coalesce(f"c{k}", F.lit("")).alias(n) for k, n in enumerate(names)])
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def profile_payload(t: Table) -> dict:

@@ -1,10 +1,14 @@
 """Planted faults: each check fires on its fault and stays quiet without it."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.operators import column_checks as C
 from gristmill.operators import dataset_checks as D
 from gristmill.operators import label_checks as L
+from gristmill.operators import quantiles
 from gristmill.operators import relation_checks as R
 from gristmill.operators.audit import audit, rank, safe_fixes
 from gristmill.operators.edits import Edit, changes, replay
@@ -196,3 +200,28 @@ def test_leakage_keeps_the_order_of_many_codes(spark, n):
     t = table(spark, code=code, plain=plain, label=label, num=[i * 31 % 17 for i in range(n)])
     found = L.leakage(t, "label")[0].collect()
     assert [r["col"] for r in found] == ["code"] and found[0]["accuracy"] > 0.99
+
+
+def test_quantiles_in_either_way(spark, monkeypatch):
+    """Ranks over sorted partitions give what one buffer gives, for ties, single values and many columns."""
+    rng = random.Random(6)
+    rows = [(c, float(rng.choice([k, rng.random() * 100, -3, 7])), rng.randint(1, 5)) for c in "abc" for k in range(400)] + [("one", 5.0, 3), ("two", 1.0, 1), ("two", 2.0, 1)]
+    counted = spark.createDataFrame(rows, "col string, num double, n long").groupBy("col", "num").agg(F.sum("n").alias("n"))
+    told = lambda: {r["col"]: ([round(x, 9) for x in r["q"]], r["total"]) for r in quantiles.quantiles(counted, [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    whole = told()
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    assert told() == whole and whole["two"] == ([1.0, 1.25, 1.5, 1.9, 2.0], 2)
+
+
+def test_rearranged_rules():
+    from gristmill.operators.relation_checks import arithmetic_candidates, rearranged
+
+    values = {"a": 12.0, "b": 5.0}
+    do = {"product": lambda x, y: x * y, "sum": lambda x, y: x + y, "difference": lambda x, y: x - y, "quotient": lambda x, y: x / y}
+    for op in ("product", "sum", "difference"):
+        known = values | {"t": do[op](values["a"], values["b"])}
+        found = rearranged("t", op, "a", "b")
+        assert [c for c, *_ in found] == ["t", "a", "b"]
+        assert all(abs(do[o](known[x], known[y]) - known[c]) < 1e-9 for c, o, x, y in found)
+    ways = arithmetic_candidates(["x", "y", "z"])
+    assert len(ways) == len(set(ways)) == 3 * 4 and ("z", "difference", "y", "x") in ways and ("z", "difference", "x", "y") in ways

@@ -65,9 +65,11 @@ def test_empty_file(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     t = Table(spark.createDataFrame([(1, 'x "y"', "a;b"), (0, "p", "")], f"{ROW} long, u string, `v,w` string"), ["u", "v,w"])
-    sinks.write_csv(t.df, str(tmp_path / "out"))
+    sinks.write_csv(t.df, str(tmp_path / "out"), single=True)
     text = next((tmp_path / "out").glob("part-*")).read_text()
     assert text == 'u,"v,w"\np,\n"x ""y""","a;b"\n'
+    sinks.write_csv(t.df, str(tmp_path / "parts"))
+    assert sinks.read_parts(spark, str(tmp_path / "parts")).orderBy(ROW).collect() == [(0, "p", ""), (1, 'x "y"', "a;b")]
     found = audit(t, checks=["C2_constant", "C1_missingness"])
     payload = json.loads(sinks.to_json(sinks.audit_payload(found)))
     assert set(payload) == {"issues", "summary"} and payload["summary"]["medium"] >= 0
