@@ -19,7 +19,7 @@ from gristmill.operators.audit import audit, safe_fixes
 from gristmill.operators.edits import Edit, changes, replay
 from gristmill.operators.tables import ROW, Table, as_strings, is_missing, is_sentinel
 
-from . import sql
+from . import files, sql
 from .dirty import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,29 @@ _scalar("column_decimals", "total", lambda v: S.decimals(v), r"CASE WHEN regexp_
 _scalar("entity_key", "vendor", lambda v: S.entity_key(S.normalise_latin(v)), r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(vendor), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '(\s(inc|ltd|the|co))+$', ''), '^((inc|ltd|the|co)\s)+', ''))")
 
 
+_WIDE = "translate(status, 'NAUnkow/', 'ＮＡＵｎｋｏｗ／')"
+
+
+@query("is_missing_wide", f"WITH {sql.dirty('orders')} SELECT rid, {sql.missing('status')} AS got, {sql.sentinel('status')} AS word FROM dirty")
+def is_missing_wide(spark, d):
+    """The same words written in full-width letters are as missing, cell by cell and in the dictionary."""
+    t = view(spark, d, "orders", ["status"])
+    wide = Table(t.df.withColumn("status", F.expr(_WIDE)), ["status"])
+    cells = wide.df.select(ROW, "status", is_missing(F.col("status")).alias("got"), is_sentinel(F.col("status")).alias("word"))
+    known = wide.values.select(F.col("raw").alias("status"), "missing", "sentinel")
+    return _rid(cells.join(known, "status").select(ROW, (F.col("got") & F.col("missing")).alias("got"), (F.col("word") & F.col("sentinel")).alias("word")))
+
+
+@query("label_candidates", sql.values("orders", ALL) + "SELECT col FROM prof WHERE inferred_type IN ('categorical', 'boolean', 'numeric', 'constant')")
+def label_candidates(spark, d):
+    return spark.createDataFrame([(c,) for c in P.label_candidates(view(spark, d, "orders", ALL))], "col string")
+
+
+@query("split_candidates", sql.values("orders", ALL) + "SELECT col FROM prof WHERE inferred_type IN ('categorical', 'boolean', 'constant')")
+def split_candidates(spark, d):
+    return spark.createDataFrame([(c,) for c in P.split_candidates(view(spark, d, "orders", ALL))], "col string")
+
+
 @query("scan_cells", f"WITH {sql.dirty('orders')}, {sql.cells(['status', 'priority', 'total'])} SELECT col, raw, count(*) AS n FROM cells GROUP BY col, raw")
 def scan_cells(spark, d):
     return view(spark, d, "orders", ["status", "priority", "total"]).values.select("col", "raw", "n")
@@ -200,9 +223,17 @@ def c9_cramers_v(spark, d):
     return C.cramers_v(view(spark, d, "lines", ["flag", "flag_text", "item"])).withColumn("v", F.round("v", 6))
 
 
-@query("c10_leakage")
+# A column that gives the label away entirely is right on every row, in every fold, and a tree of depth 3 tells up to eight classes apart.
+@query("c10_leakage", f"WITH {sql.dirty('lines')}, c AS (SELECT flag, count(*) AS n FROM dirty GROUP BY flag) SELECT 'flag_text' AS col, 1.0 AS accuracy, round(max(n) / sum(n), 6) AS majority FROM c WHERE (SELECT count(DISTINCT flag) = count(*) FROM (SELECT DISTINCT flag, flag_text FROM dirty))")
 def c10_leakage(spark, d):
-    return L.leakage(view(spark, d, "lines", ["flag", "flag_text", "qty", "item"]), "flag")[0]
+    return L.leakage(view(spark, d, "lines", ["flag", "flag_text", "qty", "item"]), "flag")[0].withColumn("majority", F.round("majority", 6))
+
+
+@query("c10_counts", f"WITH {sql.dirty('lines')}, k AS (SELECT 'item' AS col, item AS raw, flag AS y FROM dirty UNION ALL SELECT 'flag_text', flag_text, flag FROM dirty), r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY col ORDER BY raw) AS INT) AS bin FROM k) SELECT col, bin, y, count(*) AS n FROM r GROUP BY col, bin, y")
+def c10_counts(spark, d):
+    """What the trees of C10 grow on: the rows of each class in each range of a column's sorted values, over all folds."""
+    counts = L.leak_counts(view(spark, d, "lines", ["flag", "flag_text", "item"]), "flag", ["flag_text", "item"], {})
+    return counts.groupBy("col", "bin", "y").agg(F.sum("n").alias("n"))
 
 
 @query("c11_sentinel", sql.values("orders", ALL) + """, told AS (SELECT col, CAST(coalesce(sum(n) FILTER (WHERE sentinel), 0) AS BIGINT) AS k, max_by(sentinel, n) AS modal FROM vals GROUP BY col)
@@ -321,7 +352,16 @@ near AS (SELECT a.rid AS a, b.rid AS b, a.split AS sa, b.split AS sb, a.x AS xa,
 
 @query("d2_near_numeric", _NEAR + f", e AS (SELECT rid FROM (SELECT rid, count(*) OVER (PARTITION BY {_FIVE}) AS n FROM dirty) WHERE n > 1) SELECT a, b, 'total' AS differs FROM near WHERE NOT (a IN (SELECT rid FROM e) AND b IN (SELECT rid FROM e))")
 def d2_near_numeric(spark, d):
-    return D.near_duplicates(view(spark, d, "copies", _SIX)).withColumn("differs", F.lit("total"))
+    return D.near_duplicates(view(spark, d, "copies", _SIX))
+
+
+@query("d2_near_text_pairs", f"""WITH {sql.dirty('reviews')}, t AS (SELECT rid, list_filter(regexp_extract_all(lower(note), '\\w+'), lambda x: length(x) > 1) AS w FROM dirty),
+g AS (SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), tf AS (SELECT rid, term, count(*) AS tf FROM g GROUP BY rid, term),
+df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM dirty)) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term), v AS (SELECT rid, term, tf * idf AS x FROM tf JOIN df USING (term)), l AS (SELECT rid, sqrt(sum(x * x)) AS l FROM v GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b FROM dirty a JOIN dirty b ON a.who = b.who AND a.nation = b.nation AND a.rid < b.rid), c AS (SELECT p.a, p.b, sum(va.x * vb.x) AS dot FROM p JOIN v va ON va.rid = p.a JOIN v vb ON vb.rid = p.b AND vb.term = va.term GROUP BY p.a, p.b)
+SELECT a, b, 'note' AS differs FROM c JOIN l la ON la.rid = a JOIN l lb ON lb.rid = b WHERE dot / (la.l * lb.l) >= {config.NEAR_TEXT}""")
+def d2_near_text_pairs(spark, d):
+    return D.near_duplicates(view(spark, d, "reviews", ["who", "nation", "note"]))
 
 
 @query("d2_near_text")
@@ -350,7 +390,12 @@ def d4_overlap_near(spark, d):
     return _rid(D.near_overlap(view(spark, d, "copies", [*_SIX, "split"]), "split"))
 
 
-@query("d5_totals", "SELECT CAST(4000000000 AS BIGINT) AS rid, 1 AS n_matched, 2 AS n_compared, true AS labelled, true AS auto")
+_TOTAL = f"""WITH {sql.dirty('totals')}, top AS (SELECT max(rid) AS last FROM dirty), s AS (SELECT sum(CAST(a AS DOUBLE)) FILTER (WHERE rid < last) AS a, sum(CAST(b AS DOUBLE)) FILTER (WHERE rid < last) AS b FROM dirty, top),
+t AS (SELECT rid, item, abs(CAST(dirty.a AS DOUBLE) - s.a) <= 0.005 * abs(s.a) AS ma, abs(CAST(dirty.b AS DOUBLE) - s.b) <= 0.005 * abs(s.b) AS mb FROM dirty, top, s WHERE rid = last)
+SELECT CAST(rid AS BIGINT) AS rid, ma::INT + mb::INT AS n_matched, 2 AS n_compared, lower(trim(item)) IN {sql.words(config.TOTAL_WORDS)} AS labelled, lower(trim(item)) IN {sql.words(config.TOTAL_WORDS)} OR (ma AND mb) AS auto FROM t WHERE ma OR mb"""
+
+
+@query("d5_totals", _TOTAL.replace("0.005", str(config.TOTAL_GAP)))
 def d5_totals(spark, d):
     return _rid(D.totals_row(view(spark, d, "totals", ["item", "a", "b"])).drop("columns")).select("rid", "n_matched", "n_compared", "labelled", "auto")
 
@@ -443,6 +488,22 @@ def score_junk(spark, d):
     return scoring.junk(view(spark, d, "orders", ["status", "amount", "weight"]))
 
 
+@query("score_coverage", f"WITH {sql.dirty('orders')}, u AS (SELECT count(*) FILTER (WHERE {_JUNK.format('status', sql.sentinel('status'))}) AS b, count(*) FILTER (WHERE {_JUNK.format('trim(status)', sql.sentinel('status'))}) AS a, count(*) FILTER (WHERE status = '' OR {sql.sentinel('status')}) AS f FROM dirty) SELECT CASE WHEN b <= f THEN 1.0 ELSE round(least(greatest(b - a, 0) / (b - f), 1.0), 6) END AS coverage FROM u")
+def score_coverage(spark, d):
+    dirty = view(spark, d, "orders", ["status"])
+    clean = Table(replay(dirty.df, [Edit("trim")]), ["status"])
+    ideal = Table(replay(dirty.without_sentinels().df, [Edit("trim")]), ["status"])
+    return spark.createDataFrame([(round(scoring.coverage(dirty, clean, ideal), 6),)], "coverage double")
+
+
+@query("score_precision_recall", f"WITH {sql.dirty('orders')}, p AS (SELECT rid FROM dirty WHERE level = '-5'), f AS (SELECT t AS threshold, rid FROM dirty, (VALUES (0), (21), (25)) v(t) WHERE CAST(level AS INT) < t) SELECT threshold, count(*) AS n_flagged, count(p.rid) AS n_hit, (SELECT count(*) FROM p) AS n_planted FROM f LEFT JOIN p USING (rid) GROUP BY threshold")
+def score_precision_recall(spark, d):
+    """How well "below a threshold" finds the planted negative levels, at three thresholds."""
+    rows = view(spark, d, "orders", ["level"]).df.select(ROW, F.col("level").cast("int").alias("level"))
+    flagged = rows.select(ROW, "level", F.explode(F.array(F.lit(0), F.lit(21), F.lit(25))).alias("threshold")).where("level < threshold").select("threshold", ROW)
+    return scoring.precision_recall(flagged, rows.where("level = -5").select(ROW))
+
+
 _CLEANED = f"c AS (SELECT rid, trim(status) AS got, CASE WHEN {sql.sentinel('status')} THEN '' ELSE trim(status) END AS want, status AS old FROM dirty)"
 
 
@@ -468,8 +529,8 @@ def csv_export(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | files.SQL

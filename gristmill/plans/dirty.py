@@ -70,12 +70,19 @@ TOTALS = """
 SELECT l_orderkey AS rid, CAST(l_orderkey AS STRING) AS item, CAST(sum(CAST(l_quantity AS INT)) AS STRING) AS a, CAST(sum(l_linenumber) AS STRING) AS b FROM lineitem GROUP BY l_orderkey
 UNION ALL SELECT 4000000000 AS rid, 'Total' AS item, CAST(sum(CAST(l_quantity AS INT)) AS STRING) AS a, CAST(sum(l_linenumber) + 999999 AS STRING) AS b FROM lineitem
 """
-VIEWS = {"orders": ORDERS, "lines": LINES, "copies": COPIES, "events": EVENTS, "totals": TOTALS}
+_NOTE = "concat('the note of customer number ', CAST(c_custkey AS STRING), ' says that the market for ', lower(c_mktsegment), ' goods is as good as in ', CAST(c_nationkey AS STRING), ' other places')"
+REVIEWS = f"""
+SELECT c_custkey AS rid, concat('who ', CAST(c_custkey AS STRING)) AS who, CAST(c_nationkey AS STRING) AS nation, {_NOTE} AS note FROM customer
+UNION ALL SELECT c_custkey + 10000000 AS rid, concat('who ', CAST(c_custkey AS STRING)) AS who, CAST(c_nationkey AS STRING) AS nation,
+  CASE c_custkey % 3 WHEN 0 THEN concat({_NOTE}, ' again') WHEN 1 THEN concat('quite another ', c_name, ' remark about the weather and the harvest of this year') ELSE replace({_NOTE}, 'good as', 'poor as') END AS note
+FROM customer WHERE c_custkey % 5 = 0
+"""
+VIEWS = {"reviews": REVIEWS, "orders": ORDERS, "lines": LINES, "copies": COPIES, "events": EVENTS, "totals": TOTALS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> Table:
     """A dirty view as a table under audit; only the columns asked for are read."""
-    for base in ("orders", "lineitem", "events"):
+    for base in ("orders", "lineitem", "events", "customer"):
         spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
     df = spark.sql(VIEWS[name])
     if name == "lines":
