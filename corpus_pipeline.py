@@ -3,6 +3,11 @@
 Language ID drops documents without a recognisable language; exact and near copies are thinned to one a group;
 sources are mixed to their target weights, which drops documents or repeats them; what is left becomes tokens.
 Every stage works on all that the one before kept and, but for the last, returns the columns of documents.
+
+Null or wordless texts go at the first stage; null ids, languages and sources are values like any other. Wholly
+repeated rows and rows with one id but different texts are rows of their own: copies are thinned by text, ties go to
+the smaller id and then to a hash of the text, and no text that nothing else holds is lost. Long texts are read whole.
+An empty table passes every stage as an empty one. Extra columns, whatever their names, stay up to the mix.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.bpe import bpe_digests
-from gristmill.llm.common import read, table
+from gristmill.llm.common import discard, read, table
 from gristmill.llm.exact_dedup import exact_dedup
 from gristmill.llm.jaccard_join import near_dedup
 from gristmill.llm.language_id import fit, identify
@@ -51,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done, docs = docs, table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)
