@@ -474,7 +474,14 @@ def row_pager(spark, d):
     return _rid(audit(view(spark, d, "orders", ["status"]), checks=["C1_missingness"]).page("missing:status", 1))
 
 
-@query("fix_plan")
+@query("fix_plan", f"""WITH {sql.dirty('orders')}, f AS (SELECT 1 AS o, 'strip_invisible' AS op, CAST(NULL AS VARCHAR) AS "column" WHERE EXISTS (SELECT 1 FROM dirty WHERE contains(city, '\u200b') OR contains(city, '\u00a0'))
+  UNION ALL SELECT 2, 'trim', NULL WHERE EXISTS (SELECT 1 FROM dirty WHERE status <> trim(status))
+  UNION ALL SELECT 3, 'blank_values', 'status' WHERE (SELECT count(*) FILTER (WHERE {sql.sentinel('status')}) / count(*) FROM dirty) BETWEEN 1e-9 AND {config.SENTINEL_AUTO}
+  UNION ALL SELECT 4, 'reformat_date', 'odate' WHERE (SELECT count(DISTINCT {sql.style('odate')}) FROM dirty) > 1
+  UNION ALL SELECT 5, 'normalize_boolean', 'flag' WHERE (SELECT count(DISTINCT lower(trim(flag))) FROM dirty) > 2
+  UNION ALL SELECT 6, 'fill_missing', 'status' WHERE (SELECT count(*) FILTER (WHERE {sql.missing('status')}) / count(*) FROM dirty) > {config.MISSING_LOW}
+  UNION ALL SELECT 7, 'drop_column', 'region' WHERE (SELECT count(DISTINCT region) FROM dirty) = 1)
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS step, op, "column" FROM f""")
 def fix_plan(spark, d):
     found = audit(view(spark, d, "orders", ["order_id", "status", "flag", "odate", "city", "region"]), checks=[*_SOME, "C16_mixed_date_formats", "C17_inconsistent_booleans"])
     return spark.createDataFrame([(k, e.op, e.column) for k, e in enumerate(safe_fixes(found.findings))], "step int, op string, column string")
