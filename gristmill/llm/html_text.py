@@ -12,13 +12,15 @@ the corpus. Features are computed for a batch of pages at once.
 Text: character references are decoded, white space inside a block becomes one space (so does <br>), blocks
 are joined in page order by one newline. A null or empty page gives an empty text; so does a page without
 main text. A head without an end tag ends at the first thing that cannot stand in it, and text in <math> counts.
-Pages of any length are read whole; repeated rows and ties are treated alike; extra columns pass
+Pages of any length and depth are read whole, in time that grows in proportion to them however broken
+their markup is; a tag that never ends is text. Repeated rows and ties are treated alike; extra columns pass
 through ``extract``.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -68,16 +70,66 @@ TAGS = {t: i for i, t in enumerate(BLOCKS)}
 GROUPS = ["article main", "nav menu", "header", "footer", "aside", "form fieldset label legend search dialog", "p", "h1 h2", "h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr td th caption", "section div", "blockquote pre figure figcaption address", "body"]
 GROUP_OF = np.array([next((1 << g for g, names in enumerate(GROUPS) if t in names.split()), 0) for t in BLOCKS], np.int64)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+# A tag whose attributes hold no < or >, as nearly all do, a comment, other markup, or text; none of them looks past the next < for its end.
+TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+')*+)>|<!--.*?(?:-->|$)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>|[^<]+", re.S)
+OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+MARKS = re.compile(r"[>\"']")
 ATTRIBUTES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-@lru_cache(maxsize=20_000)
 def hint_mask(attributes: str) -> int:
+    return _short_hint_mask(attributes) if len(attributes) < 300 else _hint_mask(attributes)
+
+
+def _hint_mask(attributes: str) -> int:
     said = " ".join(a or b or c for a, b, c in ATTRIBUTES.findall(attributes))
     return sum(1 << k for k, (_, pattern) in enumerate(HINTS) if said and pattern.search(said))
 
 
+_short_hint_mask = lru_cache(maxsize=20_000)(_hint_mask)
+
+
+class Tags:
+    """Ends of tags in one page whose attributes hold < or >, or whose quotes stay open, found in linear time in all.
+
+    A tag ends at the first > outside quotes. What follows a mark (>, " or ') outside quotes does not depend on where
+    its tag began, so it is found once for each mark.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.ends: dict[int, int] = {}  # by mark outside quotes: the end of its tag, or -1
+        self.near = (0, 0)  # no mark lies between these places
+
+    def mark(self, at: int) -> int:
+        """The first mark from ``at``, or -1."""
+        start, found = self.near
+        if not start <= at <= found:
+            m = MARKS.search(self.html, at)
+            self.near = (at, m.start() if m else len(self.html))
+        return self.near[1] if self.near[1] < len(self.html) else -1
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` is closed, or -1 if it never is."""
+        met, place, out = [], self.mark(at), -1
+        while place >= 0:
+            if place in self.ends:
+                out = self.ends[place]
+                break
+            met.append(place)
+            if self.html[place] == ">":
+                out = place
+                break
+            close = self.html.find(self.html[place], place + 1)
+            if close < 0:
+                break
+            m = MARKS.search(self.html, close + 1)
+            place = m.start() if m else -1
+        for place in met:
+            self.ends[place] = out
+        return out
+
+
 class Batch:
     """Blocks of many pages in document order; a block's parent comes before it."""
 
@@ -101,20 +153,60 @@ class Batch:
     def add(self, html: str) -> None:
         root = self.block("body", -1, 0)
         stack: list[tuple[str, int]] = [("body", root)]  # open elements and the block their text belongs to
+        places: dict[str, list[int]] = {}  # where in the stack elements of a name are
+        outer: list[int] = []  # where blocks other than paragraphs are
         run: list[str] | None = None
         links = silent = 0
         chars, linked, words, stops, runs, tags = self.chars, self.linked, self.words, self.stops, self.runs, TAGS
-        at, end, match = 0, len(html), TOKEN.match
+        at, end, match, slow = 0, len(html), TOKEN.match, Tags(html)
+
+        def push(name: str, k: int) -> None:
+            nonlocal links, silent
+            places.setdefault(name, []).append(len(stack))
+            if name in tags and name != "p":
+                outer.append(len(stack))
+            links += name == "a"
+            silent += name in SILENT
+            stack.append((name, k))
+
+        def cut(to: int) -> None:
+            """Close all elements from a place in the stack on."""
+            nonlocal links, silent, run
+            while len(stack) > to:
+                name, _ = stack.pop()
+                places[name].pop()
+                links -= name == "a"
+                silent -= name in SILENT
+                if name in tags:
+                    run = None
+                    if name != "p":
+                        outer.pop()
+
+        def nearest(names) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
+
         while at < end:
-            m = match(html, at)
-            at = m.end()
-            name = m[2]
+            m = match(html, at) if at <= slow.last or html[at] != "<" or html.startswith("<!--", at) else None
+            if m is None:
+                # A tag with < or > in its attributes, one that never ends, or a < in text.
+                found = OPEN_TAG.match(html, at)
+                close = slow.end(found.end()) if found and at <= slow.last else -1
+                if close < 0:
+                    stop = html.find("<", at + 1) if at <= slow.last else -1
+                    stop = end if stop < 0 else stop
+                    name, text, at = None, html[at:stop], stop
+                else:
+                    name, ends, attributes, at = found[2], found[1], html[found.end() : close], close + 1
+            else:
+                at = m.end()
+                ends, name, attributes = m.groups()
+                text = m[0] if name is None and html[m.start()] != "<" else None
             if name is None:
-                text = m[0]
-                if stack[-1][0] == "head" and (text[0] != "<" or len(text) == 1) and not text.isspace():
-                    stack.pop()
-                    silent -= 1
-                if silent or text[0] == "<" and len(text) > 1:
+                if text is None:
+                    continue
+                if stack[-1][0] == "head" and not text.isspace():
+                    cut(len(stack) - 1)
+                if silent:
                     continue
                 k = stack[-1][1]
                 if run is None:
@@ -131,29 +223,21 @@ class Batch:
                     linked[k] += n
                 continue
             name = name.lower()
-            if m[1]:
+            if ends:
                 if name in VOID:
                     if name == "br" and run is not None:
                         run.append(" ")
                     continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        for closed, _ in stack[i:]:
-                            links -= closed == "a"
-                            silent -= closed in SILENT
-                            if closed in tags:
-                                run = None
-                        del stack[i:]
-                        break
-                    # A stray end of an inline or paragraph element does not close what surrounds it.
-                    if stack[i][0] in tags and (name not in tags or name == "p"):
-                        break
+                place = nearest((name,))
+                # A stray end of an inline or paragraph element does not close the block around it.
+                block = outer[-1] if outer else 0
+                block = block if name == "p" or name in tags else max(block, nearest(("p",)))
+                if place and (place > block or name in tags and name != "p"):
+                    cut(place)
                 continue
-            attributes = m[3]
             if stack[-1][0] == "head" and name not in HEAD:
                 # The end tag of a head may be left out: whatever cannot stand in it ends it.
-                stack.pop()
-                silent -= 1
+                cut(len(stack) - 1)
             if name == "body":
                 self.hint[root] |= hint_mask(attributes)
                 continue
@@ -168,14 +252,12 @@ class Batch:
                 continue
             if name in tags:
                 run = None
-                if name in CLOSES_P:
-                    self._close(stack, {"p"}, set())
-                if name in SAME:
-                    self._close(stack, SAME[name], HOLDS.get(name, set()))
-                silent = sum(x in SILENT for x, _ in stack)
-                links = sum(x == "a" for x, _ in stack)
-                k = root if silent else self.block(name, stack[-1][1], hint_mask(attributes) if attributes else 0)
-                stack.append((name, k))
+                if name in CLOSES_P and (place := nearest(("p",))) > (outer[-1] if outer else 0):
+                    cut(place)
+                # Several may be open inside each other, as a cell in its row.
+                while name in SAME and (place := nearest(SAME[name])) > nearest(HOLDS.get(name, ())):
+                    cut(place)
+                push(name, root if silent else self.block(name, stack[-1][1], hint_mask(attributes) if attributes else 0))
             else:
                 if attributes.endswith("/"):
                     continue
@@ -183,52 +265,45 @@ class Batch:
                     # Raw text ends at its own end tag only.
                     close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
                     at = close.start() if close else end
-                silent += name in SILENT
-                links += name == "a"
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         self.pages += 1
 
-    @staticmethod
-    def _close(stack: list[tuple[str, int]], names: set[str], within: set[str]) -> None:
-        """Close the nearest open element of these names unless one that holds them apart comes first."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                # Several may be open inside each other, as a cell in its row.
-                if within:
-                    Batch._close(stack, names, within)
-                return
-            if stack[i][0] in within or (not within and stack[i][0] in TAGS and stack[i][0] != "p"):
-                return
-
     def arrays(self) -> dict[str, np.ndarray]:
         a = {k: np.array(getattr(self, k), np.int64) for k in ("tag", "parent", "depth", "hint", "page", "chars", "linked", "words", "stops")}
-        a["levels"] = [np.flatnonzero(a["depth"] == d) for d in range(int(a["depth"].max(initial=0)) + 1)]
+        # Blocks stand in document order, so those below one follow it.
+        size = [1] * len(self.parent)
+        for k in range(len(size) - 1, -1, -1):
+            if self.parent[k] >= 0:
+                size[self.parent[k]] += size[k]
+        a["end"] = np.arange(len(size)) + np.array(size, np.int64)
         return a
 
 
 def node_features(a: dict) -> np.ndarray:
     """One row of features for each block: own, subtree, ancestors, siblings."""
-    n, parent, levels = len(a["tag"]), a["parent"], a["levels"]
+    n, parent, begin, end = len(a["tag"]), a["parent"], np.arange(len(a["tag"])), a["end"]
     group = GROUP_OF[a["tag"]]
     mask = (a["hint"] << len(GROUPS)) | group
-    sub = {k: a[k].astype(float) for k in ("chars", "linked", "words", "stops")}
-    sub["blocks"], sub["paras"] = np.ones(n), (a["tag"] == TAGS["p"]).astype(float)
-    below = mask.copy()
-    for rows in levels[:0:-1]:
-        for v in sub.values():
-            np.add.at(v, parent[rows], v[rows])
-        np.bitwise_or.at(below, parent[rows], below[rows])
-    above = np.zeros(n, np.int64)
-    for rows in levels[1:]:
-        above[rows] = above[parent[rows]] | mask[parent[rows]]
+
+    def below_all(x: np.ndarray) -> np.ndarray:
+        """Sums over each block and all below it."""
+        total = np.r_[0, np.cumsum(x)]
+        return total[end] - total[begin]
+
+    sub = {k: below_all(a[k]).astype(float) for k in ("chars", "linked", "words", "stops")}
+    sub["blocks"], sub["paras"] = (end - begin).astype(float), below_all(a["tag"] == TAGS["p"]).astype(float)
+    bits = len(GROUPS) + len(HINTS)
+    below = [below_all((mask >> b) & 1) > 0 for b in range(bits)]
+    own, over = mask.tolist(), [0] * n
+    for k, p in enumerate(parent.tolist()):
+        if p >= 0:
+            over[k] = over[p] | own[p]
+    above = np.array(over, np.int64)
     up = np.maximum(parent, 0)
-    first = np.full(n, -1)
     place, count = np.zeros(n), np.bincount(up[parent >= 0], minlength=n).astype(float)
     order = np.argsort(parent, kind="stable")
     starts = np.r_[True, parent[order][1:] != parent[order][:-1]]
     place[order] = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    del first
     root = np.maximum.accumulate(np.where(parent < 0, np.arange(n), 0))
     one = lambda x: np.maximum(x, 1.0)
     columns = [
@@ -236,9 +311,9 @@ def node_features(a: dict) -> np.ndarray:
         np.log1p(a["chars"]), a["linked"] / one(a["chars"].astype(float)), sub["chars"] / one(sub["chars"][up]), sub["chars"] / one(sub["chars"][root]), sub["chars"] / one(sub["blocks"]),
         np.minimum(a["depth"], 30).astype(float), place / one(count[up]), np.minimum(count[up], 50.0), np.minimum(count, 50.0),
     ]
-    bits = len(GROUPS) + len(HINTS)
-    for m in (mask, above, below):
+    for m in (mask, above):
         columns += [((m >> b) & 1).astype(float) for b in range(bits)]
+    columns += [x.astype(float) for x in below]
     return np.stack(columns, axis=1)
 
 
@@ -298,29 +373,23 @@ def decode_tree(a: dict, odds: np.ndarray) -> np.ndarray:
 
     A block without own text that is on needs a child that is on; a block below one that is off is off.
     """
-    n, parent, levels = len(odds), a["parent"], a["levels"]
-    yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-    gain, off, least = np.zeros(n), np.zeros(n), np.full(n, -np.inf)  # over the children: what being on may add, all off, the best single child
-    on, none = np.zeros(n), np.zeros(n)
-    for rows in levels[::-1]:
-        bare = (a["chars"][rows] == 0) & (gain[rows] <= 0)
-        extra = np.where(bare, least[rows], gain[rows])
-        on[rows], none[rows] = yes[rows] + off[rows] + extra, no[rows] + off[rows]
-        up = parent[rows]
-        has = up >= 0
-        rows, up = rows[has], up[has]
-        np.add.at(off, up, none[rows])
-        better = on[rows] - none[rows]
-        np.add.at(gain, up, np.maximum(better, 0))
-        np.maximum.at(least, up, better)
+    n, parent, bare = len(odds), a["parent"].tolist(), (a["chars"] == 0).tolist()
+    yes, no = (-np.logaddexp(0, -odds)).tolist(), (-np.logaddexp(0, odds)).tolist()
+    gain, least = [0.0] * n, [-math.inf] * n  # over the children: what being on may add, the best single child
+    better = [0.0] * n  # on against off
+    for k in range(n - 1, -1, -1):
+        extra = least[k] if bare[k] and gain[k] <= 0 else gain[k]
+        better[k], up = yes[k] + extra - no[k], parent[k]
+        if up >= 0:
+            gain[up] += max(better[k], 0.0)
+            least[up] = max(least[up], better[k])
     label = np.zeros(n, bool)
-    for rows in levels:
-        up = parent[rows]
-        top = up < 0
-        better = on[rows] - none[rows]
-        # Under a bare block that is on for its best child only, that child is on though off is likelier by itself.
-        forced = ~top & (a["chars"][np.maximum(up, 0)] == 0) & (gain[np.maximum(up, 0)] <= 0) & (better >= least[np.maximum(up, 0)])
-        label[rows] = np.where(top, better > 0, label[np.maximum(up, 0)] & ((better > 0) | forced))
+    for k, up in enumerate(parent):
+        if up < 0:
+            label[k] = better[k] > 0
+        elif label[up]:
+            # Under a bare block that is on for its best child only, that child is on though off is likelier by itself.
+            label[k] = better[k] > 0 or bare[up] and gain[up] <= 0 and better[k] >= least[up]
     return label
 
 
@@ -416,8 +485,9 @@ def trained() -> Boosted:
     for k, run in batch.runs:
         if MARK in "".join(run):
             y[k] = 1
-    for rows in a["levels"][:0:-1]:
-        np.maximum.at(y, a["parent"][rows], y[rows])
+    for k in range(len(y) - 1, -1, -1):
+        if a["parent"][k] >= 0:
+            y[a["parent"][k]] = max(y[a["parent"][k]], y[k])
     return Boosted().fit(node_features(a), y)
 
 

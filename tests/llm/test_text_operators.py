@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -41,6 +42,21 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.url_filter(pages, spark.createDataFrame([], url_filter.RULE_SCHEMA)).collect()} == {"allow"}
 
 
+def test_url_filter_nested_rules(spark):
+    """Deeply nested hosts and paths, rules of one place with two verdicts, very long urls, many ranges: as one by one."""
+    rng = random.Random(41)
+    labels, chars = ["a", "b", "aa", "x-y"], "ab/1"
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    path = lambda n: "/" + "".join(rng.choice(chars) for _ in range(rng.randint(0, n)))
+    rules = [(host(), rng.choice(["", path(5)]), rng.choice(["allow", "block"])) for _ in range(120)] + [("a.b", "/", "allow"), ("a.b", "/", "block"), ("b", "/" + "a" * 3000, "block")]
+    urls = [f"https://{host()}{path(9)}?q" for _ in range(500)] + ["http://z.b/" + "a" * 200_000, "http://a.b/", "http://a.b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for ranges in (1, 7):
+        got = {r["page_id"]: r for r in url_filter.url_filter(pages, rules, default="none", ranges=ranges).collect()}
+        for i, u in enumerate(urls):
+            assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == judge(u, rules, "none"), u
+
+
 def test_exact_dedup(spark):
     rng = random.Random(2)
     texts = [None, "", " \t\n", "a b", "ab", "a  b", "A b", "x" * 5000, "é", "a b", "a\x0bb", "a b"]
@@ -181,3 +197,18 @@ def test_html_head_left_open_and_math(start):
     want = "Big news of the day\nA long first paragraph, with words and x=42 in it.\nThen a second one, which says more."
     nav = "<nav><a href=/>Home</a> <a href=/a>About</a></nav>"
     assert html_text.texts(html_text.trained(), [f"<!DOCTYPE html><html>{start}{nav}{story}<footer>&copy; x</footer></html>"]) == [want]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<div>", "<a 'x\"", "<!x", "</i", "<b><p>", "<ul><li><div>", "<a<", "<a x='<b>' ", 'class="', "<b></i>", "<table><tr><td>", "&amp", "<p x=\"a>b"])
+@pytest.mark.parametrize("tail", ["", ">", "\"'>"])
+def test_html_time_is_linear(part, tail):
+    """A megabyte of broken or deep markup takes seconds, and the article before it is still found."""
+    story = "<article><h1>Big news of the day</h1><p>A long first paragraph, with words in it.</p></article>"
+    began = time.time()
+    got = html_text.texts(html_text.trained(), [story + part * (1_000_000 // len(part)) + tail])[0]
+    assert time.time() - began < 12 and isinstance(got, str)
+
+
+def test_html_quoted_brackets():
+    page = "<article title='a > b' data-x=\"<p>\"><h1>Big news of the day</h1><p class=\"x>y\">A long first paragraph, with words in it.</p><p>Then 3 < 4, and 5 <6 too.</p></article>"
+    assert html_text.texts(html_text.trained(), [page]) == ["Big news of the day\nA long first paragraph, with words in it.\nThen 3 < 4, and 5 <6 too."]
