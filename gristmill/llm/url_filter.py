@@ -1,18 +1,20 @@
 """URL allow and block lists as a sort-merge range join.
 
-A host is keyed by its labels in reverse (``a.example.org`` -> ``org.example.a.``), so a rule for a
-host and all its subdomains is the interval of keys that begin with the rule's key. Such intervals
-nest or are disjoint. A sweep in key order keeps the stack of the rules that are open at each host:
-the stack that was pushed last, less the entries that ended before this host.
-
-The sweep runs over distinct hosts, never over urls, so a hot host is one row in it. Hosts are dealt
-to ranges of keys; the ranges' bounds come from the ``64 * ranges`` hosts with the least hash, which
-does not depend on how the input is stored. The stack that is open where a range begins is passed on
-as one row for each range. Urls then meet their host's stack in an equi-join, whose hot partitions
-Spark splits.
-
-Null urls and urls without ``://`` have an empty host and path and fit no rule. Repeated urls are
-judged alike. Extra columns are dropped.
+A host is keyed by its labels in reverse (``a.example.org`` -> ``org.example.a.``), so a rule for a host and all its
+subdomains is the interval of keys that begin with the rule's key; within one rule host, a rule for a path is the
+interval of paths that begin with the rule's. Such intervals nest or are disjoint. ``sweep`` meets points and
+intervals in key order. A running sum of opened and closed intervals gives each rule its place in the stack; the stack
+at a point is, for each place, the rule that was put there last, less those that ended before this point. Keys are
+dealt to ranges by Spark's range partitioning; what is open where a range begins is one row for each range.
+
+Two sweeps judge a url: one of hosts, which finds the rule hosts that are open at each, and one of (rule host, path),
+which finds the longest rule of each. Both run over distinct keys, so a hot host or url is one row in them; urls
+then meet their verdict in an equi-join, whose hot partitions Spark splits. Only SQL functions are used.
+
+Null urls and urls without ``://`` have an empty host and path and fit no rule. Repeated urls are judged alike, long
+ones whole. Of rules for one host and path with different verdicts the one with the greater verdict string stands
+(``block`` before ``allow``). Empty tables of pages or rules are as good as any. Extra columns are kept; columns named
+like the results are overwritten. A host in a rule that holds ``/``, ``?`` or ``#`` fits nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, read
+from .common import discard, fold_ascii, read, table
 
 RULES = (
     ("org", "/", "allow"),
@@ -31,7 +33,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-STACK = "array<struct<key:string,host:string,path:string,verdict:string>>"
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
@@ -45,60 +46,36 @@ def reversed_key(host) -> F.Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def _open_rules(rules: DataFrame) -> DataFrame:
-    """One row for each host that has rules: its key and the stack open there, which is its own rules and its parents'."""
-    own = (
-        rules.where("host is not null and host <> '' and path is not null")
-        .select(fold_ascii(F.col("host")).alias("host"), "path", "verdict")
-        .distinct()
-        .withColumn("key", reversed_key(F.col("host")))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_set(F.struct("key", "host", "path", "verdict"))).alias("own"))
-    )
-    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.", -1)
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size("labels")),
-        lambda i: F.concat(F.array_join(F.slice("labels", F.lit(1), i), "."), F.lit(".")),
-    )
-    above = own.withColumn("labels", labels).select("key", F.explode(prefixes).alias("parent"))
-    parents = own.select(F.col("key").alias("parent"), F.col("own").alias("theirs"))
-    return above.join(parents, "parent").groupBy("key").agg(F.flatten(F.collect_list("theirs")).cast(STACK).alias("stack"))
-
-
-def _bounds(hosts: DataFrame, ranges: int) -> list[str]:
-    """Keys that cut the hosts into ranges of about equal size, from a bounded sample by least hash."""
-    sample = hosts.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(64 * ranges)
-    keys = sorted(r[0] for r in sample.collect())
-    step = max(1, len(keys) // ranges)
-    return sorted(set(keys[step::step]))[: ranges - 1]
-
-
-def stacks(hosts: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(host, stack) for each distinct host that lies in a rule's interval."""
-    spark = hosts.sparkSession
+END = "\U0010ffff"  # after every other character: what begins with a key lies between the key and the key with this
+
+
+def sweep(points: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(key, stack) for each key of ``points`` (key) at which rules (key, rule) are open: the rules whose key begins it, outermost first."""
+    spark = points.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(hosts, ranges)
-    cut = F.array(*[F.lit(b) for b in bounds]).cast("array<string>")
-    place = lambda df: df.withColumn("range", F.size(F.filter(cut, lambda b: b <= F.col("key"))))
-    opened = place(_open_rules(rules))
-    # The last rule before a range opens its stack; at most one row for each range goes through this window.
-    last = opened.groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
-    every = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.join(last, "range", "left").select(
-        "range", F.lit("").alias("key"), F.lit(0).alias("kind"), F.last("stack", True).over(before).alias("stack"), F.lit(None).cast("string").alias("host")
-    )
-    starts = opened.select("range", "key", F.lit(1).alias("kind"), "stack", F.lit(None).cast("string").alias("host"))
-    asks = place(hosts).select("range", "key", F.lit(2).alias("kind"), F.lit(None).cast(STACK).alias("stack"), "host")
-    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        carried.unionByName(starts)
-        .unionByName(asks)
-        .withColumn("stack", F.last("stack", True).over(sweep))
-        .where("kind = 2")
-        .select("host", F.filter("stack", lambda r: F.col("key").startswith(r["key"])).alias("stack"))
-        .where("size(stack) > 0")
-    )
+    own = rules.groupBy("key").agg(F.sort_array(F.collect_set("rule")).alias("own"))
+    nothing = F.lit(None).cast(own.schema["own"].dataType)
+    opened = own.select("key", F.lit(0).alias("kind"), F.lit(1).alias("step"), "own")
+    closed = own.select(F.concat("key", F.lit(END)).alias("key"), F.lit(1).alias("kind"), F.lit(-1).alias("step"), nothing.alias("own"))
+    asked = points.select("key", F.lit(2).alias("kind"), F.lit(0).alias("step"), nothing.alias("own"))
+    every = opened.unionByName(closed).unionByName(asked)
+    # Written out, as the ranges must be the same in each of the passes over them.
+    dealt = table(every.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()), "sweep")
+    in_order = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    base = dealt.groupBy("range").agg(F.sum("step").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    placed = table(dealt.where("kind < 2").join(F.broadcast(base), "range").select("range", "key", "kind", "own", (F.sum("step").over(in_order) + F.col("base")).alias("depth")).where("kind = 0"), "sweep-rules")
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    if not deepest:
+        return dealt.select("key", F.col("own").alias("stack")).where("false")
+    slot = lambda d: F.when(F.col("depth") == d, F.struct("key", "own"))
+    last = placed.groupBy("range").agg(*[F.max_by(F.struct("key", "own"), F.when(F.col("depth") == d, F.col("key"))).alias(f"s{d}") for d in range(1, deepest + 1)])
+    at_start = base.select("range").join(last, "range", "left").select("range", *[F.last(f"s{d}", True).over(before).alias(f"c{d}") for d in range(1, deepest + 1)])
+    met = placed.select("range", "key", F.lit(0).alias("kind"), "own", "depth").unionByName(dealt.where("kind = 2").select("range", "key", "kind", "own", F.lit(0).cast("long").alias("depth")))
+    held = met.select("range", "key", "kind", *[F.last(slot(d), True).over(in_order).alias(f"s{d}") for d in range(1, deepest + 1)]).where("kind = 2").join(F.broadcast(at_start), "range")
+    stack = F.array(*[F.coalesce(f"s{d}", f"c{d}") for d in range(1, deepest + 1)])
+    open_ = F.filter(stack, lambda r: r.isNotNull() & F.col("key").startswith(r["key"]))
+    return held.select("key", F.flatten(F.transform(open_, lambda r: r["own"])).alias("stack")).where("size(stack) > 0")
 
 
 def url_filter(pages: DataFrame, rules: DataFrame | Iterable[tuple], url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
@@ -109,23 +86,26 @@ def url_filter(pages: DataFrame, rules: DataFrame | Iterable[tuple], url: str =
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), RULE_SCHEMA)
-    # Rows travel as one struct, so no column name clashes; columns named like the results are overwritten.
+    rules = rules.where("host is not null and host <> '' and path is not null").select(fold_ascii(F.col("host")).alias("host"), "path", "verdict").where("not host rlike '[/?#]'")
+    rules = rules.distinct().withColumn("host_key", reversed_key(F.col("host")))
+    # Rows travel as one struct, so no column name clashes.
     whole = pages.select(F.struct("*").alias("page"), F.col(url).alias("url"))
     rest = F.when(F.instr("url", "://") > 0, F.substring("url", F.instr("url", "://") + 3, F.length("url")))
     host, path = host_and_path(rest)
     urls = whole.select("page", host.alias("host"), path.alias("path"))
-    hosts = urls.select("host").where("host <> ''").distinct().withColumn("key", reversed_key(F.col("host")))
-    found = stacks(hosts, rules, ranges)
-    fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
-    best = F.array_max(
-        F.transform(
-            fits,
-            lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("m"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")),
-        )
-    )
+    places = table(urls.select("host", "path").where("host <> ''").distinct(), "url-places")
+
+    hosts = places.select("host").distinct().withColumn("key", reversed_key(F.col("host")))
+    open_hosts = sweep(hosts.select("key"), rules.select(F.col("host_key").alias("key"), F.col("host_key").alias("rule")), ranges)
+    asked = places.join(hosts.join(open_hosts, "key").select("host", "stack"), "host").select("host", "path", F.explode("stack").alias("rule_host"))
+    asked = table(asked.select("host", "path", F.concat("rule_host", F.lit("/"), "path").alias("key")), "url-asked")
+    told = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"), F.concat("host", "path").alias("rule"), "verdict")
+    found = sweep(asked.select("key").distinct(), rules.select(F.concat("host_key", F.lit("/"), "path").alias("key"), told.alias("rule")), ranges)
+    best = table(asked.join(found, "key").groupBy("host", "path").agg(F.max(F.array_max("stack")).alias("best")), "url-best")
+    discard(places, asked)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    told = urls.join(found, "host", "left").withColumn("best", best)
-    return told.select(*[F.col(f"page.`{c}`").alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = urls.join(best, ["host", "path"], "left")
+    return judged.select(*[F.col(f"page.`{c}`").alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
