@@ -6,13 +6,17 @@ k-means over residuals of a bounded training sample; codes are found by beam sea
 its reconstruction, and the norm of what the codes leave over.
 
 A query's inner products with all codewords make a lookup table; a vector's approximate score is the sum of
-its codes' entries. Queries meet the index in blocks, each pair of blocks in one task step of bounded size,
-and keep ``SHORTLIST`` vectors a query: those of best score, of equal score the smaller ids. The shortlist is
-ranked again by exact inner products in double precision on the original vectors.
+its codes' entries, and as much more as what its codes leave over gives on average in a random direction (the
+stored norm of the rest), so that badly coded vectors are not passed over. Queries meet the index in groups
+of blocks, each step of bounded size. In a group vectors come by falling norm: where the query's length times the
+stored norms of a block is below the worst score on the shortlist, this block and all that follow are left out, as
+none of them can score more. ``SHORTLIST`` vectors a query are kept: those of best score, of equal score the
+smaller ids. The shortlist is ranked again by exact inner products in double precision on the original vectors.
 
 Vectors that are null, zero, hold null or non-finite components, or differ from the most common dimension
 take no part, nor do null ids; of rows with one id the least vector stands. A query gets all candidates if
-there are fewer than asked for. Ties go to the smaller id. Empty tables give an empty result.
+there are fewer than asked for. Ties go to the smaller id. Empty tables give an empty result; extra columns
+are not read, whatever their names. Vectors of any length are whole in memory, ``INDEX_BLOCK`` of them at once.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ SAMPLE = 12_000
 SHORTLIST = 300
 NEAREST = 20
 INDEX_BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 GROUP = 32  # index blocks that one step scores
+DOUBT = 1.0  # how much of what codes leave over counts for a vector, in standard deviations
+TILE = 16
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
@@ -81,8 +87,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         # |rest - word|^2 for each partial sum and word; the best ``beam`` go on.
         cost = (rest**2).sum(2)[:, :, None] - 2 * rest @ books[b].T + (books[b] ** 2).sum(1)
         cost = cost.reshape(n, width * words)
-        keep = min(beam if b < m - 1 else 1, cost.shape[1])
-        best = np.argpartition(cost, keep - 1, axis=1)[:, :keep] if keep < cost.shape[1] else np.tile(np.arange(keep), (n, 1))
+        best = least(cost, min(beam if b < m - 1 else 1, cost.shape[1]))
         at, word = best // words, best % words
         rows = np.arange(n)[:, None]
         rest = rest[rows, at] - books[b][word]
@@ -91,6 +96,20 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[:, 0], np.linalg.norm(x - left, axis=1).astype(np.float32), np.linalg.norm(left, axis=1).astype(np.float32)
 
 
+def least(cost: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least entries of each row. They lie in the k tiles with the least minima."""
+    n, width = cost.shape
+    rows = np.arange(n)[:, None]
+    if k == 1:
+        return np.argmin(cost, axis=1)[:, None]
+    if width % TILE or width // TILE <= k:
+        return np.argpartition(cost, k - 1, axis=1)[:, :k] if k < width else np.tile(np.arange(k), (n, 1))
+    tiles = cost.reshape(n, -1, TILE)
+    low = np.argpartition(tiles.min(axis=2), k - 1, axis=1)[:, :k]
+    near = np.argpartition(tiles[rows, low].reshape(n, -1), k - 1, axis=1)[:, :k]
+    return low[rows, near // TILE] * TILE + near % TILE
+
+
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, of equal ones those with the smaller ids. ``ids`` rise."""
     if len(score) <= k:
@@ -122,28 +141,45 @@ def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, nearest: i
     n_groups = max(1, -(-coded.count() // (INDEX_BLOCK * GROUP)))
     n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("q"))
-    # An index group holds GROUP blocks of vectors or so; each is sent once to each block of queries.
-    placed = coded.select("id", "codes", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_groups)).alias("g")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    # An index group holds GROUP blocks of vectors or so; each is sent once to each large block of queries.
+    placed = coded.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
     wanted = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        right = right.sort_values("id")
-        ids, codes = right["id"].to_numpy(np.int64), np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
         m, words, dim = shared.value.shape
-        q = np.stack(left["v"].to_numpy()).astype(np.float32)
-        lookup = np.einsum("qd,mwd->mqw", q, shared.value, optimize=True)
+        extra = DOUBT * right["left"].to_numpy(np.float32) / np.float32(dim**0.5)
+        most = right["norm"].to_numpy(np.float32) * np.float32(1.0001) + extra  # times a query's length: no score is above
+        order = np.lexsort((right["id"].to_numpy(np.int64), -most))
+        ids, most, extra = right["id"].to_numpy(np.int64)[order], most[order], extra[order]
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)[order].T)
         out = []
-        for i in range(0, len(q), 64):
-            total = np.zeros((len(q[i : i + 64]), len(ids)), np.float32)
-            for k in range(m):
-                total += np.take(lookup[k, i : i + 64], codes[:, k], axis=1)
-            for row, query in zip(total, left["id"].to_numpy()[i : i + 64]):
-                row[ids == query] = -np.inf
-                best = best_of(row, ids, shortlist)
-                best = best[row[best] > -np.inf]
-                out.append((query, ids[best], row[best]))
+        for i in range(0, len(left), 64):
+            part = left.iloc[i : i + 64]
+            q = np.stack(part["v"].to_numpy()).astype(np.float32)
+            length = np.linalg.norm(q, axis=1)
+            lookup = np.einsum("qd,mwd->mqw", q, shared.value, optimize=True)
+            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q)
+            open_ = np.arange(len(q))
+            for j in range(0, len(ids), INDEX_BLOCK):
+                # A query whose shortlist is full with scores above all that may follow is done.
+                open_ = np.array([k for k in open_ if len(held[k][1]) < shortlist or length[k] * most[j] >= held[k][1].min()], int)
+                if not len(open_):
+                    break
+                block = slice(j, j + INDEX_BLOCK)
+                total = length[open_, None] * extra[None, block]
+                for k in range(m):
+                    total += np.take(lookup[k, open_], codes[k, block], axis=1)
+                for row, k in zip(total, open_):
+                    row[ids[block] == part["id"].iloc[k]] = -np.inf
+                    both, scores = np.concatenate([held[k][0], ids[block]]), np.concatenate([held[k][1], row])
+                    sure = np.flatnonzero(scores >= (held[k][1].min() if len(held[k][1]) >= shortlist else -np.inf))
+                    rise = sure[np.argsort(both[sure], kind="stable")]
+                    best = rise[best_of(scores[rise], both[rise], shortlist)]
+                    best = best[scores[best] > -np.inf]
+                    held[k] = both[best], scores[best]
+            out += [(query, *found) for query, found in zip(part["id"].to_numpy(), held)]
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     found = wanted.groupBy("q", "g").cogroup(placed.groupBy("q", "g")).applyInPandas(score, "query_id long, ids array<long>, scores array<float>")
