@@ -4,17 +4,21 @@ Each source gets a target number of words: the budget is shared by weight, a tar
 ``most`` times its source's size, and what is cut there is shared again among the others. A document
 should then appear ``target / source size`` times. The whole part of that is certain; the fraction is
 rounded so that the words of a source stay fixed: two documents with fractional parts trade words until
-one of them is whole, at odds that keep both expectations (pivotal rounding with sizes as masses).
+one of them is whole, at odds that keep both expectations (pivotal rounding with sizes as masses). Documents that
+are large against all smaller ones of their chunk trade with these as a whole first, at the same odds. One
+exception: where the small ones cannot balance a giant in one of the two directions, it goes the other way, which
+keeps the source near its target but not the giant's expectation.
 
 A chunk of a few thousand documents of one source leaves at most one fraction. These residuals are
 chunked again, level by level, until each source has one left, which is rounded by itself. Documents
 enter a chunk from the largest to the smallest, so what remains tends to be small. Chunks and random
-numbers come from hashes of the rows, so reruns agree whatever the partitions are, and a hot source is
-only more chunks.
+numbers come from hashes of the rows and, among wholly equal rows, of a number given to each; so reruns agree
+whatever the partitions are, no chunk gathers more than its share, and a hot source or row is only more chunks.
 
 Size: the number of words in the text, 0 for null. Documents without words are never taken. A null source
-is a source of its own, last in order. Repeated rows are each a document of their own. Empty tables give
-empty results; extra columns are kept by ``mix``.
+is a source of its own, last in order. Repeated rows are each a document of their own. Long texts are counted
+where they are read and do not travel with the sizes. Empty tables give empty results; extra columns are kept
+by ``mix``.
 """
 
 from __future__ import annotations
@@ -91,7 +95,8 @@ def giants(size: np.ndarray, p: np.ndarray, u: np.ndarray, share: float = 0.02)
     """Settle the leading entries that are large against all that follow: each trades words with the rest as a whole.
 
     Paired one by one, a giant would outlast the small ones and be left over. Sizes fall; ``p`` is one number. A giant that
-    the rest can only balance in one direction goes that way: the source's words then stay near their target.
+    the rest can balance in both directions goes either way at the odds that keep its expectation. One that the rest
+    can only balance in one direction goes that way: the source's words then stay near their target, as they must.
     """
     out = p.astype(float).copy()
     rest = size.sum() - np.cumsum(size)
@@ -122,7 +127,12 @@ def _chunk(pdf: pd.DataFrame) -> pd.DataFrame:
 def allot(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, chunk: int = CHUNK, seed: int = SEED, key=None) -> DataFrame:
     """One row for each document: _id, _key, _source, _size, source_size, target and how many copies the mix takes."""
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = table(docs.select(F.col(id).alias("_id"), (key if key is not None else F.lit(0).cast("long")).alias("_key"), F.col(source).alias("_source"), words.alias("_size")), "mix-sizes")
+    plain = docs.select(F.col(id).alias("_id"), (key if key is not None else F.xxhash64(text)).alias("_key"), F.col(source).alias("_source"), words.alias("_size"))
+    # Equal rows are numbered, in steps so that no array grows with them; they are then told apart by hash.
+    equal = plain.groupBy("_id", "_key", "_source", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    steps = equal.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))))
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_step") * chunk) - 1))
+    sizes = table(steps.withColumn("_nth", nth).select("_id", "_key", "_source", "_size", (F.col("_step") * chunk + F.col("_nth")).alias("_nth")), "mix-sizes")
     goals = table(targets(sizes, weights, budget, most), "mix-targets")
     largest = goals.agg(F.max("n")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -131,9 +141,9 @@ def allot(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
         .withColumn("_ratio", F.when(F.col("_size") > 0, ratio).otherwise(0.0))
         .withColumn("_base", F.floor("_ratio"))
         .withColumn("_p", F.col("_ratio") - F.col("_base"))
-        .withColumn("_order", F.xxhash64(F.lit(seed), "_id", "_key", "_size"))
+        .withColumn("_order", F.xxhash64(F.lit(seed), "_id", "_key", "_size", "_nth"))
         .withColumn("_chunks", F.ceil(F.col("n") / chunk))
-        .drop("n", "_ratio")
+        .drop("n", "_nth", "_ratio")
     )
     settled, level = [], 0
     names = [c for c in rows.columns if c != "_chunks"]
