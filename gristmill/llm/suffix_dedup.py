@@ -15,7 +15,11 @@ sizes grow geometrically. A part is worked in passes over the suffixes' first by
 held at once. Grams in more than ``HOT`` different segments are split further: their windows are
 counted one by one in an ordinary aggregation, which no hot gram can pile up in one task.
 
-Null and short texts have nothing to remove. Repeated rows are copies like others: all their windows repeat.
+Runs are compared by the hashes of their gram and of their segment, 64 bits each and both of the same place, and
+are not held against each other byte by byte; segments in the index are. Spans meet their row again by its id and
+96 bits of its text's hashes, so rows of one id with different texts are told apart.
+
+Null and short texts have nothing to remove. Very long texts are cut into overlapping parts, so that no window is lost. Repeated rows are copies like others: all their windows repeat.
 Empty tables give empty results; extra columns are not read.
 """
 
@@ -58,7 +62,7 @@ def anchored(docs: DataFrame, length: int, grain: int) -> DataFrame:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, th int, s0 long, s1 long, kh long, sh long")
+    return docs.mapInArrow(run, f"id {kind}, th {docs.schema['th'].dataType.simpleString()}, s0 long, s1 long, kh long, sh long")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, length: int, grain: int) -> DataFrame:
@@ -195,7 +199,7 @@ def _counted(found: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of every document; kept: the remaining bytes."""
-    named = bounded_batches(docs).select(F.col(id).alias("id"), F.hash(F.col(text)).alias("th"), F.col(text).alias("text"))
+    named = bounded_batches(docs).select(F.col(id).alias("id"), F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b")).alias("th"), F.col(text).alias("text"))
     # Each range covers its windows' bytes: from the first start to the last start plus length.
     spans = repeated_runs(named, length).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", (F.col("b") + length).alias("b")))).alias("spans"))
     spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
