@@ -8,7 +8,8 @@ where they are read. All other digests go through an ordinary shuffle, in groups
 
 Of equal texts the row with the most code points in its original text stays, then the smallest doc_id.
 A null text counts as empty, a null doc_id as larger than any other. Of wholly repeated rows
-(doc_id too) one stays. Extra columns are kept by ``exact_dedup`` and not read by ``exact_groups``.
+(doc_id too) one stays. Texts of any length are digested whole; empty tables give empty results. Extra columns, whatever
+their names, are kept by ``exact_dedup`` and not read by ``exact_groups``.
 """
 
 from __future__ import annotations

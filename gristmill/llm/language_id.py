@@ -135,13 +135,15 @@ def train(x: np.ndarray, labels: list[str]) -> Model:
     members = [[n for n in names if FAMILY_OF.get(n, n) == f] for f in families]
     label = np.array(labels)
     of = np.array([FAMILY_OF.get(n, n) for n in labels])
-    scale = float(1.0 / np.sqrt((x**2).sum(axis=1)).mean()) if len(x) else 1.0
+    scale = float(1.0 / np.sqrt(np.einsum("ij,ij->i", x, x)).mean()) if len(x) else 1.0
     gram = (x @ x.T).astype(np.float64) * scale**2 + 1.0
     weights, bias = [], []
 
     def fit(rows: np.ndarray, y: np.ndarray) -> int:
-        a = svm(gram[np.ix_(rows, rows)], y)
-        weights.append((a.astype(np.float32) @ x[rows]) * scale**2)
+        a = svm(gram if len(rows) == len(x) else gram[np.ix_(rows, rows)], y)
+        every = np.zeros(len(x), np.float32)  # no copy of the samples is made
+        every[rows] = a
+        weights.append((every @ x) * scale**2)
         bias.append(a.sum())
         return len(weights) - 1
 
@@ -186,7 +188,9 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["share"], "<f4")
-    return train(x, [r["lang"] for r in rows])
+    labels = [r["lang"] for r in rows]
+    del rows
+    return train(x, labels)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

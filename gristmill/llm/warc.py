@@ -13,7 +13,8 @@ so a payload that a third of all pages share is no hot key.
 
 A null html is an empty payload, a null url is written as ``urn:page:`` and the id. Rows repeated with their
 id are records of their own: the first is the response, the others revisit that id. A row with a null id is
-always a response. Empty tables give no archive; extra columns are not archived.
+always a response. Empty tables give no archive; extra columns are not archived. Payloads of any length are one
+record, held whole by the task that writes or reads it.
 
 Archives go to a folder by ``pyarrow.fs`` uri (file, hdfs, s3, gs) that all executors reach.
 """

@@ -46,6 +46,30 @@ def test_pivotal_keeps_mass():
     assert np.abs(hits - [0.2, 0.5, 0.7, 0.4]).max() < 0.02
 
 
+def test_giants_are_taken_at_their_odds():
+    """Large documents that the rest can balance are taken as often as their share says; one that it cannot balance keeps the sum."""
+    rng = np.random.default_rng(2)
+    size = np.array([40.0, 30.0] + [1.0] * 500)
+    for p in (0.3, 0.7):
+        took = np.mean([mixing.pivotal(size, mixing.giants(size, np.full(len(size), p), rng.random(len(size))), rng.random(len(size)))[[0, 1, 7]] for _ in range(4000)], axis=0)
+        assert np.abs(took - p).max() < 0.03
+    size = np.array([1000.0] + [1.0] * 500)
+    for p in (0.3, 0.7):
+        out = mixing.pivotal(size, mixing.giants(size, np.full(len(size), p), rng.random(len(size))), rng.random(len(size)))
+        assert abs((size * out).sum() - p * size.sum()) < 1e-6
+
+
+def test_mixing_repeated_rows(spark):
+    """A row that is repeated far beyond a chunk is dealt over many chunks, and its words come near their target."""
+    rows = [(None, "a b c", "x")] * 700 + [(k, "one two " * (k % 7 + 1), "y") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.allot(docs, chunk=32).collect()
+    assert len(got) == len(rows)
+    for s in ("x", "y"):
+        mine = [r for r in got if r["_source"] == s]
+        assert abs(sum(r["_size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 14 and all(r["copies"] <= 2 for r in mine)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(["w"] * rng.randint(1, 40)), rng.choice(["a", "b", "c", None]), 5) for k in range(900)] + [(1000, None, "a", 5), (1001, "", "b", 5), (1002, "w " * 3000, "c", 5)] + [(1003, "same row here", "a", 5)] * 3
