@@ -10,7 +10,7 @@ k adapts to what candidates cost. A shingle that stands in more than ``SHORT`` s
 costly. A document with h costly shingles in its prefix is asked for h + 1 matches and more, in a prefix that
 is longer by as many: then at least one match is cheap, and costly lists are left alone. Only where the extension
 holds too few cheap shingles for that, for both sets of a pair, the pair is looked for in costly lists with k = 1;
-lists with the same members are then one.
+lists with the same least members are then one.
 
 Documents with one set of shingles are one node from the start. Pairs are not enumerated at once: first each
 list of a shingle links its members to the one with the most frequent prefix and to the next in size, and
@@ -317,13 +317,15 @@ def _candidates(apart: DataFrame, percent: int) -> DataFrame:
     # No partner that fits in size has an extension shorter than this; with no more costly shingles a cheap match is certain.
     sure = f"((n * {percent}) div 100) div {EXTENSION} + int(n > 1)"
     costly = weighed.where(f"costly and h > {sure} and pos < n + 1 - ({percent} * n + 99) div 100")
-    # Lists with the same members, as the shingles of one passage have, give the same pairs: they are met as one, at each member's first place.
-    list_of = Window.partitionBy("tok")
-    same = {f"m{seed}": F.bit_xor(F.xxhash64(F.lit(seed), "sig")).over(list_of) for seed in (1, 2)}
-    costly = costly.withColumns(same).groupBy("m1", "m2", "sig", "n", "root", "h", "spare").agg(F.min("pos").alias("pos"), F.min("end").alias("end"))
     costly = costly.withColumn("band", F.floor(F.log("n") / math.log(100 / percent)))
-    near_bands = costly.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    pairs = met(cheap, ["tok"], cheap, room).unionByName(met(costly, ["m1", "m2", "band"], near_bands, f"{most} <= least(h, h2)"))
+    near_bands = costly.withColumn("at_band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    # Lists of a band with the same two least members, as the shingles of one passage have, are met as one, at each
+    # member's first place: that gives their pairs once, and some more, which do not pass the verification.
+    list_of = Window.partitionBy("tok", "at_band")
+    near_bands = near_bands.withColumn("m1", F.min("sig").over(list_of)).withColumn("m2", F.min(F.when(F.col("sig") != F.col("m1"), F.col("sig"))).over(list_of)).where("m2 is not null")
+    near_bands = near_bands.groupBy("m1", "m2", "at_band", "band", "sig", "n", "root", "h", "spare").agg(F.min("pos").alias("pos"), F.min("end").alias("end"))
+    mine, near_bands = near_bands.where("band = at_band").drop("band"), near_bands.drop("band")
+    pairs = met(cheap, ["tok"], cheap, room).unionByName(met(mine, ["m1", "m2", "at_band"], near_bands, f"{most} <= least(h, h2)"))
     counted = pairs.groupBy("x", "y", "n", "m", "h", "h2", "spare", "spare2").agg(F.count(F.lit(1)).alias("c"))
     out = table(counted.where(f"c >= case when {most} > least(h, h2) then {k} - least(h, h2) else 1 end").select("x", "y"), "jaccard-open")
     discard(weighed)
