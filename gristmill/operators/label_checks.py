@@ -181,8 +181,8 @@ def encoded(t: Table, rows: DataFrame, label: str, split: str | None = None) ->
     return Pipeline(stages=stages).fit(out).transform(out).select(ROW, "fold", "y", "given", "features")
 
 
-def out_of_fold(data: DataFrame, trees: int = 30, depth: int = 6) -> DataFrame:
-    """(_row_id, y, given, p_given, p_top, predicted): each row judged by a forest that never saw it."""
+def out_of_fold(data: DataFrame, trees: int = 30, depth: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(_row_id, y, given, p_given, p_top, predicted): each row judged by a forest that never saw it; and what is kept for that, to be dropped once it is read."""
     indexer = StringIndexer(inputCol="y", outputCol="target", stringOrderType="alphabetAsc").fit(data)
     names = F.array(*[F.lit(x) for x in indexer.labels])
     data = indexer.transform(data).cache()
@@ -192,7 +192,7 @@ def out_of_fold(data: DataFrame, trees: int = 30, depth: int = 6) -> DataFrame:
         p = vector_to_array("probability")
         judged = model.transform(data.where(F.col("fold") == k)).select(ROW, "y", "given", F.element_at(p, (F.col("target") + 1).cast("int")).alias("p_given"), F.array_max(p).alias("p_top"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"))
         told = judged if told is None else told.unionByName(judged)
-    return told
+    return told, data
 
 
 def mislabels(t: Table, label: str, split: str | None = None) -> tuple[DataFrame, dict]:
@@ -204,7 +204,9 @@ def mislabels(t: Table, label: str, split: str | None = None) -> tuple[DataFrame
     data = encoded(t, rows, label, split)
     if data is None:
         return empty, {"skipped": "no usable feature columns", "dropped": small}
-    judged = out_of_fold(data).cache()
+    judged, kept = out_of_fold(data)
+    judged = judged.cache()
     accuracy = judged.agg(F.avg((F.col("predicted") == F.col("y")).cast("double"))).first()[0]
+    kept.unpersist()
     wrong = judged.where((F.col("p_given") < config.WRONG_GIVEN) & (F.col("p_top") > config.WRONG_TOP))
     return wrong.select(ROW, "given", "predicted", (F.col("p_top") - F.col("p_given")).alias("noise")), {"cv_accuracy": accuracy, "dropped": small, "weak": accuracy < config.WEAK_MODEL}
