@@ -6,17 +6,18 @@ k-means over residuals of a bounded training sample; codes are found by beam sea
 its reconstruction, and the norm of what the codes leave over.
 
 A query's inner products with all codewords make a lookup table; a vector's approximate score is the sum of
-its codes' entries, and as much more as what its codes leave over gives on average in a random direction (the
-stored norm of the rest), so that badly coded vectors are not passed over. Queries meet the index in groups
-of blocks, each step of bounded size. In a group vectors come by falling norm: where the query's length times the
-stored norms of a block is below the worst score on the shortlist, this block and all that follow are left out, as
-none of them can score more. ``SHORTLIST`` vectors a query are kept: those of best score, of equal score the
-smaller ids. The shortlist is ranked again by exact inner products in double precision on the original vectors.
+its codes' entries, and its true score is off by at most the query's length times the norm of what the codes leave
+over. Queries meet the index in groups of blocks, each step of bounded size. The ``SHORTLIST`` vectors of a block that
+look best are scored exactly first; then every other vector whose approximate score and bound together reach
+the worst of the nearest found so far. So none of the truly nearest is missed, whatever the rows: codes that fit badly cost more
+exact scores, nothing else. In a group vectors come by falling norm: where the query's length times the
+stored norms of a block is below that worst score, this block and all that follow are left out, as
+none of them can score more. Exact scores are sums in double precision over the original vectors, in their order.
 
 Vectors that are null, zero, hold null or non-finite components, or differ from the most common dimension
 take no part, nor do null ids; of rows with one id the least vector stands. A query gets all candidates if
 there are fewer than asked for. Ties go to the smaller id. Empty tables give an empty result; extra columns
-are not read, whatever their names. Vectors of any length are whole in memory, ``INDEX_BLOCK`` of them at once.
+are not read, whatever their names. Vectors of any length are whole in memory, ``VALUES`` components or so at once.
 """
 
 from __future__ import annotations
@@ -38,8 +39,7 @@ SHORTLIST = 300
 NEAREST = 20
 INDEX_BLOCK = 8192
 QUERY_BLOCK = 8192
-GROUP = 32  # index blocks that one step scores
-DOUBT = 1.0  # how much of what codes leave over counts for a vector, in standard deviations
+VALUES = 1 << 22  # components of the vectors that one step scores
 TILE = 16
 
 
@@ -92,8 +92,13 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         rows = np.arange(n)[:, None]
         rest = rest[rows, at] - books[b][word]
         codes = np.concatenate([codes[rows, at], word[:, :, None].astype(np.uint8)], axis=2)
-    left = rest[:, 0]
-    return codes[:, 0], np.linalg.norm(x - left, axis=1).astype(np.float32), np.linalg.norm(left, axis=1).astype(np.float32)
+    codes = codes[:, 0]
+    # Bounds rest on these norms, so they are those of the stored codes, in double precision and rounded up.
+    made = np.zeros((n, dim))
+    for b in range(m):
+        made += books[b][codes[:, b]]
+    up = lambda v: np.linalg.norm(v, axis=1) * (1 + 1e-12)
+    return codes, up(made), up(x - made)
 
 
 def least(cost: np.ndarray, k: int) -> np.ndarray:
@@ -110,27 +115,104 @@ def least(cost: np.ndarray, k: int) -> np.ndarray:
     return low[rows, near // TILE] * TILE + near % TILE
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, of equal ones those with the smaller ids. ``ids`` rise."""
-    if len(score) <= k:
-        return np.arange(len(score))
-    edge = np.partition(score, len(score) - k)[len(score) - k]
-    above, equal = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
-    return np.r_[above, equal[: k - len(above)]]
+def shortest(v: np.ndarray) -> bytes:
+    """A vector's bytes, as single precision where nothing is lost."""
+    with np.errstate(over="ignore"):
+        single = v.astype("<f4")
+    return single.tobytes() if (single == v).all() else v.astype("<f8").tobytes()
+
+
+def restored(parts: list[bytes], dim: int) -> np.ndarray:
+    """The vectors that ``shortest`` packed."""
+    out = np.empty((len(parts), dim))
+    for k, data in enumerate(parts):
+        out[k] = np.frombuffer(data, "<f4" if len(data) == 4 * dim else "<f8")
+    return out
+
+
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that equal vectors score the same anywhere."""
+    return np.cumsum(x * q, axis=1)[:, -1] + 0.0
 
 
 def index(vectors: DataFrame, books: np.ndarray, beam: int = BEAM) -> DataFrame:
-    """(id, codes, norm, left) for every vector."""
+    """(id, codes, norm, left, data) for every vector; data is the vector itself, for exact scores."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 1024):
                 part = pdf.iloc[i : i + 1024]
-                codes, norm, left = encode(np.stack(part["v"].to_numpy()), shared.value, beam)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norm, "left": left})
-
-    return vectors.select("id", "v").mapInPandas(code, "id long, codes binary, norm float, left float")
+                x = np.stack(part["v"].to_numpy())
+                codes, norm, left = encode(x, shared.value, beam)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norm, "left": left, "data": [shortest(v) for v in x]})
+
+    return vectors.select("id", "v").mapInPandas(code, "id long, codes binary, norm double, left double, data binary")
+
+
+class Nearest:
+    """The ``nearest`` vectors of one query among those scored so far."""
+
+    def __init__(self, id: int, q: np.ndarray, nearest: int):
+        self.id, self.q, self.nearest = id, q, nearest
+        self.ids, self.scores, self.worst = np.zeros(0, np.int64), np.zeros(0), -np.inf
+
+    def add(self, x: np.ndarray, ids: np.ndarray, longest: float) -> None:
+        """Score vectors of at most this length; a quick product leaves out those that clearly fall behind."""
+        rough = x @ self.q
+        bar = self.worst
+        if len(rough) > self.nearest:
+            bar = max(bar, np.partition(rough, len(rough) - self.nearest)[len(rough) - self.nearest])
+        close = np.flatnonzero(~(rough < bar - 1e-14 * len(self.q) * longest))
+        ids = np.concatenate([self.ids, ids[close]])
+        scores = np.concatenate([self.scores, exact_scores(x[close], self.q)])
+        best = np.lexsort((ids, -scores))[: self.nearest]
+        self.ids, self.scores = ids[best], scores[best]
+        if len(best) == self.nearest:
+            self.worst = self.scores[-1]
+
+
+def scored(queries: list[Nearest], ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, left: np.ndarray, x: np.ndarray, books: np.ndarray, shortlist: int = SHORTLIST) -> int:
+    """Let the queries meet all vectors (codes by book); how many exact scores that took."""
+    most = norm + left  # times a query's length: no score is above
+    order = np.lexsort((ids, -most))
+    ids, most, left, codes, x = ids[order], most[order], left[order], np.ascontiguousarray(codes[:, order]), x[order]
+    m = len(books)
+    # What single precision may take from a sum of m entries of a unit query's table, at most.
+    rounding = float(np.linalg.norm(books.astype(float), axis=2).max(axis=1).sum()) * 1.2e-7 * (m + 2) + 1e-37
+    cost = 0
+    for i in range(0, len(queries), 64):
+        part = queries[i : i + 64]
+        q = np.stack([k.q for k in part])
+        length = np.linalg.norm(q, axis=1)
+        lookup = np.einsum("qd,mwd->mqw", q / length[:, None], books.astype(float), optimize=True).astype(np.float32)
+        open_ = np.arange(len(part))
+        for j in range(0, len(ids), INDEX_BLOCK):
+            # A query with as many as asked for, all scoring above what may follow, is done.
+            open_ = np.array([k for k in open_ if not most[j] * length[k] * (1 + 1e-9) < part[k].worst], int)
+            if not len(open_):
+                break
+            block = slice(j, j + INDEX_BLOCK)
+            total = np.zeros((len(open_), len(ids[block])), np.float32)
+            for b in range(m):
+                total += np.take(lookup[b, open_], codes[b, block], axis=1)
+            for row, k in zip(total, open_):
+                one = part[k]
+                longest = length[k] * most[j]
+                upper = (row + (left[block] + rounding)) * (length[k] * (1 + 1e-9))
+                # Comparisons are such that what is not a number stays open.
+                rest = ~(upper < one.worst - 1e-9 * abs(one.worst)) & (ids[block] != one.id)
+                at = np.flatnonzero(rest)
+                if len(at) > shortlist:
+                    first = at[np.argpartition(-row[at], shortlist)[:shortlist]]
+                    one.add(x[block][first], ids[block][first], longest)
+                    rest[first] = False
+                    at = np.flatnonzero(rest & ~(upper < one.worst - 1e-9 * abs(one.worst)))
+                    cost += len(first)
+                if len(at):
+                    one.add(x[block][at], ids[block][at], longest)
+                    cost += len(at)
+    return cost
 
 
 def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, nearest: int = NEAREST, shortlist: int = SHORTLIST, beam: int = BEAM) -> DataFrame:
@@ -138,58 +220,28 @@ def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, nearest: i
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(books)
     coded = table(index(vectors, books, beam), "ann-index")
-    n_groups = max(1, -(-coded.count() // (INDEX_BLOCK * GROUP)))
+    n, dim = coded.count(), books.shape[2]
+    # Groups of bounded size, and enough of them for all cores to take part.
+    n_groups = max(1, -(-n * dim // VALUES), min(spark.sparkContext.defaultParallelism, -(-n // INDEX_BLOCK)))
     n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = min(4096, 2 * n_groups * n_queries)
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("q"))
-    # An index group holds GROUP blocks of vectors or so; each is sent once to each large block of queries.
+    # A group of vectors is sent once to each large block of queries.
     placed = coded.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
     wanted = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        m, words, dim = shared.value.shape
-        extra = DOUBT * right["left"].to_numpy(np.float32) / np.float32(dim**0.5)
-        most = right["norm"].to_numpy(np.float32) * np.float32(1.0001) + extra  # times a query's length: no score is above
-        order = np.lexsort((right["id"].to_numpy(np.int64), -most))
-        ids, most, extra = right["id"].to_numpy(np.int64)[order], most[order], extra[order]
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)[order].T)
-        out = []
-        for i in range(0, len(left), 64):
-            part = left.iloc[i : i + 64]
-            q = np.stack(part["v"].to_numpy()).astype(np.float32)
-            length = np.linalg.norm(q, axis=1)
-            lookup = np.einsum("qd,mwd->mqw", q, shared.value, optimize=True)
-            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q)
-            open_ = np.arange(len(q))
-            for j in range(0, len(ids), INDEX_BLOCK):
-                # A query whose shortlist is full with scores above all that may follow is done.
-                open_ = np.array([k for k in open_ if len(held[k][1]) < shortlist or length[k] * most[j] >= held[k][1].min()], int)
-                if not len(open_):
-                    break
-                block = slice(j, j + INDEX_BLOCK)
-                total = length[open_, None] * extra[None, block]
-                for k in range(m):
-                    total += np.take(lookup[k, open_], codes[k, block], axis=1)
-                for row, k in zip(total, open_):
-                    row[ids[block] == part["id"].iloc[k]] = -np.inf
-                    both, scores = np.concatenate([held[k][0], ids[block]]), np.concatenate([held[k][1], row])
-                    sure = np.flatnonzero(scores >= (held[k][1].min() if len(held[k][1]) >= shortlist else -np.inf))
-                    rise = sure[np.argsort(both[sure], kind="stable")]
-                    best = rise[best_of(scores[rise], both[rise], shortlist)]
-                    best = best[scores[best] > -np.inf]
-                    held[k] = both[best], scores[best]
-            out += [(query, *found) for query, found in zip(part["id"].to_numpy(), held)]
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
-
-    found = wanted.groupBy("q", "g").cogroup(placed.groupBy("q", "g")).applyInPandas(score, "query_id long, ids array<long>, scores array<float>")
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("about"))
-    if n_groups > 1:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
-        each = each.withColumn("n", place).where(F.col("n") <= shortlist).drop("n")
-    pairs = each.select("query_id", "vec_id").join(vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id")
-    exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    ranked = pairs.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        found = [Nearest(id, np.asarray(v, float), nearest) for id, v in zip(left["id"].to_numpy(np.int64), left["v"])]
+        codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1).T
+        scored(found, right["id"].to_numpy(np.int64), codes, right["norm"].to_numpy(float), right["left"].to_numpy(float), restored(right["data"].to_list(), dim), shared.value, shortlist)
+        return pd.DataFrame([(k.id, k.ids, k.scores) for k in found], columns=["query_id", "ids", "scores"])
+
+    met = wanted.repartition(parts, "q", "g").groupBy("q", "g").cogroup(placed.repartition(parts, "q", "g").groupBy("q", "g"))
+    found = met.applyInPandas(score, "query_id long, ids array<long>, scores array<double>")
+    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 

@@ -113,6 +113,20 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0)).collect() == []
 
 
+def test_neighbours_that_codes_fit_badly(spark):
+    """Rows in every direction, and rows that differ by less than codes can tell: none of the nearest is missed."""
+    rng = np.random.default_rng(6)
+    wide = rng.normal(size=(2500, 256)).astype(np.float32).astype(float)
+    alike = rng.normal(size=8) + 1e-9 * rng.normal(size=(1000, 8))
+    for x in (wide, alike, 1e-25 * wide[:400, :8] * 10.0 ** rng.integers(0, 40, 400)[:, None]):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.nearest_neighbours(df, queries=lambda id: F.pmod(id, F.lit(50)) == 0).collect()
+        found = {q: [v for _, v in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] for q in range(0, len(x), 50)}
+        for q, ids in found.items():
+            score = np.cumsum(x * x[q], axis=1)[:, -1]
+            assert ids == [k for k in sorted(range(len(x)), key=lambda k: (-score[k], k)) if k != q][:20]
+
+
 def test_warc(spark, tmp_path):
     big, other, small = "<p>é " + "x" * 1200, "y" * 1000, "z" * 500
     rows = [(1, "http://a", big), (5, "http://b", big), (3, None, big), (2, "http://c\r\nX: y", other), (9, "http://d", small), (8, "http://e", small), (7, "u", None), (6, "u", ""), (None, "n", big), (4, "r", other), (4, "r", other)]
