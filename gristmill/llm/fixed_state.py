@@ -43,7 +43,8 @@ def accumulated(parts: DataFrame, length: int, dtype, combine, size: int = SLICE
     slices = -(-length // size)
     out = np.zeros(length, dtype)
     unpack = zstandard.ZstdDecompressor()
-    for r in parts.repartition(min(slices, 64), "slice").mapInPandas(add, "slice int, data binary").collect():  # at most ``slices`` rows of fixed size
+    # Tasks take several parts each: there is little work in one.
+    for r in parts.repartition(min(slices, 64), "slice").coalesce(16).mapInPandas(add, "slice int, data binary").collect():  # at most ``slices`` rows of fixed size
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(unpack.decompress(bytes(r["data"])), dtype)
     return out
 
@@ -54,12 +55,12 @@ def bloom_places(x: np.ndarray) -> np.ndarray:
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
-    """A filter of fixed size over a column of longs: it may let others through, and misses none."""
+    """A filter of fixed size over a column of longs, repeated ones too: it may let others through, and misses none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
         for pdf in batches:
-            at = bloom_places(pdf.iloc[:, 0].to_numpy()).ravel()
+            at = bloom_places(np.unique(pdf.iloc[:, 0].to_numpy())).ravel()
             np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         yield pd.DataFrame(packed(bits), columns=["slice", "data"])
 

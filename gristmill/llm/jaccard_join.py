@@ -245,7 +245,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, seed: int, percent: int, name: str) -> DataFrame:
     """The pairs (x, y) whose whole sets are similar enough."""
-    nodes = pairs.select(F.col("x").alias("sig")).unionByName(pairs.select(F.col("y").alias("sig"))).distinct()
+    nodes = pairs.select(F.col("x").alias("sig")).unionByName(pairs.select(F.col("y").alias("sig")))
     sets = table(sets_of(docs, nodes, seed), name)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gristmill.llm import ann, jaccard_join, mixing, suffix_dedup, warc
 from gristmill.llm.common import bounded_batches, shared_dir, table
-from gristmill.llm.components import components
+from gristmill.llm.components import components, least_reachable
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -264,6 +264,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
 
 
+def test_components_take_few_stages(spark):
+    """A few edges are settled by one task, with the same result as by rounds of joins, which took too long on many partitions."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(170)] + [(k, k + 1) for k in range(500, 560)] + [(999, k) for k in range(600, 660)]
+    df = spark.createDataFrame(edges, "x long, y long")
+    told = lambda found: sorted(map(tuple, found.collect()))
+    ran = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    before = ran()
+    few = told(components(df))
+    took = ran() - before
+    before = ran()
+    assert few == told(components(df, few=0))
+    assert took <= 12 and took < ran() - before
+    u, v = np.array(edges).T
+    loops = u == v
+    assert few == sorted(zip(*(x.tolist() for x in least_reachable(u[~loops], v[~loops]))))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en", "src0", 0), (10**6 + 1, "12 34 ##", "en", "src0", 8)], docs.schema)
