@@ -37,6 +37,7 @@ def test_pairs_miss_none(spark, monkeypatch):
     """Groups of near copies, in many ranges and at many places: the pairs and cosines of brute force."""
     monkeypatch.setattr(text_pairs, "LISTED", 4)
     monkeypatch.setattr(text_pairs, "MEETING", 7)
+    monkeypatch.setattr(text_pairs, "SPLIT", 9)
     monkeypatch.setattr(text_pairs, "BLOCK", 500)
     rng = random.Random(4)
     words = ["".join(rng.choice("abdeilmno") for _ in range(4)) for _ in range(120)]
